@@ -146,7 +146,7 @@ i AS (SELECT item_id, len(w) AS m, k, {grams} AS g FROM (SELECT *, {k} AS k FROM
 dp AS (SELECT rid, unnest(range(0, k)) AS p, unnest(g) AS t FROM d),
 ip AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(g) AS t FROM i) GROUP BY ALL),
 hit AS (SELECT rid, item_id, p, t, c FROM dp JOIN ip USING (t)),
-cand AS (SELECT rid, item_id, min(p) AS lo, max(p) AS hi FROM hit GROUP BY ALL HAVING count(*) >= (SELECT {SIMILARITY} * k - 1e-9 FROM i WHERE i.item_id = hit.item_id)),
+cand AS (SELECT rid, item_id, min(p) AS lo, max(p) AS hi FROM hit JOIN (SELECT item_id, k FROM i) USING (item_id) GROUP BY rid, item_id, k HAVING count(*) >= {SIMILARITY} * k - 1e-9),
 win AS (SELECT rid, item_id, d.n, i.m, i.k, unnest(range(greatest(lo - i.k + 1, 0), least(hi, greatest(n - m, 0)) + 1)) AS s FROM cand JOIN d USING (rid) JOIN i USING (item_id)),
 cnt AS (SELECT win.rid, win.item_id, win.m, win.s, win.k, win.n, hit.t, least(count(*), any_value(hit.c)) AS shared FROM win JOIN hit ON hit.rid = win.rid AND hit.item_id = win.item_id
   AND hit.p >= win.s AND hit.p < win.s + win.k GROUP BY ALL),
