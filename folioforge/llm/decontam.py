@@ -151,7 +151,7 @@ win AS (SELECT rid, item_id, d.n, i.m, i.k, unnest(range(greatest(lo - i.k + 1,
 cnt AS (SELECT win.rid, win.item_id, win.m, win.s, win.k, win.n, hit.t, least(count(*), any_value(hit.c)) AS shared FROM win JOIN hit ON hit.rid = win.rid AND hit.item_id = win.item_id
   AND hit.p >= win.s AND hit.p < win.s + win.k GROUP BY ALL),
 sim AS (SELECT rid, item_id, m, s, sum(shared) AS shared, any_value(k) AS k, any_value(least(k, CASE WHEN n < {WIDTH} THEN 1 ELSE n - {WIDTH - 1} END)) AS wk FROM cnt GROUP BY ALL),
-ok AS (SELECT d.doc_id, item_id, m, s, shared / (k + wk - shared)::DOUBLE AS similarity FROM sim JOIN d USING (rid))
+ok AS (SELECT d.doc_id, item_id, m, s, shared / (sim.k + wk - shared)::DOUBLE AS similarity FROM sim JOIN d USING (rid))
 SELECT doc_id, item_id, round(similarity, 6) AS similarity, s::BIGINT AS start_word, m::BIGINT AS n_words
 FROM ok WHERE similarity >= {SIMILARITY} - 1e-12
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1"""
