@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import decontam, packing, quality_rules, simhash, token_store
+from folioforge.llm import decontam, langid, packing, pii, quality_rules, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [quality_rules.op1_quality_rules, packing.op3_packing, decontam.op4_decontamination, token_store.op7_token_store, simhash.op10_simhash]
+    found = [quality_rules.op1_quality_rules, packing.op3_packing, decontam.op4_decontamination, langid.op6_language_id, token_store.op7_token_store, pii.op8_pii, simhash.op10_simhash]
     return {f.__name__: f for f in found}
 
 
