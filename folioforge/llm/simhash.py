@@ -273,6 +273,39 @@ def near_duplicates(docs: DataFrame, radius: int = 2, bucket_rows: int = 8192) -
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 2, bucket_rows: int = 8192) -> DataFrame:
+    """The rows of ``docs`` (all columns) with one row for each component: that of the smallest doc_id.
+
+    Of rows equal in id and fingerprint, the one whose text hashes smallest stays.
+    """
+    from pyspark.sql.types import LongType, StructType
+
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
+            fps = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "__fp"])
+
+    marked = materialize(docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("__fp", LongType())), "simhash-docs")
+    classes = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first")), "simhash-classes")
+    found = components(links(classes.select("fp"), radius, bucket_rows))
+    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("first").isNull().alias("missing"), "first", "fp")
+    chosen = rooted.groupBy("root").agg(F.min_by(F.struct("fp", "first"), order).alias("x")).select(F.col("x.fp").alias("__keep_fp"), F.col("x.first").alias("__keep_id"))
+    chosen = materialize(chosen, "simhash-kept")
+    kept = marked.join(chosen, (F.col("__fp") == F.col("__keep_fp")) & F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    again = kept.groupBy("doc_id", "__fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__keep_id"), F.col("__fp").alias("__keep_fp"))
+    again = materialize(again, "simhash-repeats")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = (F.col("__fp") == F.col("__keep_fp")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
+    names = list(docs.columns)
+    first = kept.join(again, same, "left_semi").groupBy("doc_id", "__fp").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").select(*names).unionByName(first)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract of query 10: doc_id, fingerprint (hex), component_id."""
     from folioforge.llm.common import table

@@ -214,7 +214,7 @@ def _write(folder: str, id_bytes: int):
             if not b.num_rows:
                 continue
             if writer is None:
-                sink = fs.open_output_stream(part)
+                sink = fs.open_output_stream(part, compression=None)
                 writer = ShardWriter(sink, id_bytes)
             seen = True
             blobs = b.column(1)
