@@ -64,7 +64,7 @@ class Encoder:
                 normal.append(t)
             elif t.isalpha():
                 one.append(t)
-            elif t[-1] in ".,;:!?|" and t[:-1].isalpha():
+            elif t[-1:] in ".,;:!?|" and t[:-1].isalpha():
                 two.append(t)
             else:
                 normal.append(t)

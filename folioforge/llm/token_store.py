@@ -1,8 +1,8 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are encoded map-side, dealt by ranges of doc_id (equal ids further
-by text hash and row number, so a repeated id never gathers in one task) and
-sorted; each task streams one shard:
+Documents are dealt by ranges of doc_id (equal ids further by row number, so a
+repeated id never gathers in one task) and sorted; each task encodes its
+documents and streams one shard:
 
     magic  "FFTOK1\\0\\0", then u32 id bytes (2 or 4), u64 documents, u64 ids
     payload  raw little-endian ids, documents in order
@@ -186,21 +186,7 @@ class ShardReader:
         return np.frombuffer(self._get(12 + a * self.id_bytes, (z - a) * self.id_bytes), f"<u{self.id_bytes}")
 
 
-def _encode(path: str, end_id: int, id_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        enc, row = encoder(path), TaskContext.get().partitionId() << 33
-        for b in batches:
-            ids, bounds = enc.encode(b.column(1))
-            blobs = [np.append(ids[a:z], np.uint32(end_id)).astype(f"<u{id_bytes}").tobytes() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(np.arange(row, row + b.num_rows))], ["doc_id", "ids", "row"])
-            row += b.num_rows
-
-    return run
-
-
-def _write(folder: str, id_bytes: int):
+def _write(folder: str, path: str, end_id: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -209,7 +195,7 @@ def _write(folder: str, id_bytes: int):
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
         part, writer, sink = f"{at}/.{name}-{uuid.uuid4().hex}", None, None
-        low, seen = None, False
+        enc, seen = encoder(path), False
         for b in batches:
             if not b.num_rows:
                 continue
@@ -217,10 +203,11 @@ def _write(folder: str, id_bytes: int):
                 sink = fs.open_output_stream(part, compression=None)
                 writer = ShardWriter(sink, id_bytes)
             seen = True
-            blobs = b.column(1)
-            sizes = np.diff(np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4).astype(np.int64)) // id_bytes
-            joined = np.frombuffer(b"".join(blobs.to_pylist()), f"<u{id_bytes}")
-            writer.add(b.column(0), joined, np.concatenate(([0], np.cumsum(sizes))))
+            ids, bounds = enc.encode(b.column(1))
+            n = len(bounds) - 1
+            joined = np.full(len(ids) + n, end_id, f"<u{id_bytes}")
+            joined[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+            writer.add(b.column(0), joined, bounds + np.arange(n + 1))
         if seen:
             docs, ids = writer.close()
             sink.close()
@@ -234,10 +221,10 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     """Write the shards; returns the manifest (shard, name, docs, ids), one row per shard."""
     spark = docs.sparkSession
     prepare(spark)
-    encoded = materialize(docs.select("doc_id", "text").mapInArrow(_encode(path or default_path(), end_id, id_bytes), "doc_id long, ids binary, row long"), "tokens-encoded")
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
-    return materialize(ranged.select("doc_id", "ids").mapInArrow(_write(folder, id_bytes), "shard long, name string, docs long, ids long"), "tokens-manifest")
+    ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
+    return materialize(ranged.select("doc_id", "text").mapInArrow(_write(folder, path or default_path(), end_id, id_bytes), "shard long, name string, docs long, ids long"), "tokens-manifest")
 
 
 def _read(folder: str):
