@@ -67,9 +67,11 @@ class Model:
 
     def logits(self, words: list[str], of: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of texts that hold the words numbered ``of``, text i those from bounds[i] to bounds[i + 1]."""
-        buckets, ends = subwords(words)
-        total = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self.table[buckets], axis=0, dtype=np.float64)))
-        score, count = total[ends[1:]] - total[ends[:-1]], np.diff(ends)
+        score, count = np.zeros((len(words), len(self.langs))), np.zeros(len(words), np.int64)
+        for at in range(0, len(words), 5000):
+            buckets, ends = subwords(words[at : at + 5000])
+            total = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self.table[buckets], axis=0, dtype=np.float64)))
+            score[at : at + 5000], count[at : at + 5000] = total[ends[1:]] - total[ends[:-1]], np.diff(ends)
         texts = len(bounds) - 1
         owner = np.repeat(np.arange(texts), np.diff(bounds))
         n = np.bincount(owner, count[of], texts)
