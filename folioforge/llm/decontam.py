@@ -19,8 +19,8 @@ deviation of 3; a radius of 19 leaves about one in a thousand such borderline
 windows unfound, and none that are equal.
 
 Shingles are compared as 64-bit hashes. Edge cases: null or blank texts and
-items without words match nothing; items and texts under five words are one
-shingle; repeated rows of an id count as one document; a null id is reported
+items without words match nothing; a text or item under five words is a single
+shingle, so such an item matches only a text of just its words; repeated rows of an id count as one document; a null id is reported
 as null; empty tables give an empty result.
 """
 
