@@ -80,3 +80,52 @@ class Dialect:
         if self.spark:
             return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS DOUBLE) * cast(y AS DOUBLE)), 0D, (s, x) -> s + x)"
         return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+    def ci(self, pattern: str) -> str:
+        """The pattern without regard to case, of all scripts."""
+        return ("(?iu)" if self.spark else "(?i)") + pattern
+
+    def lam(self, args: str, body: str) -> str:
+        return f"{args} -> {body}" if self.spark else f"lambda {args}: {body}"
+
+    def map(self, array: str, var: str, body: str) -> str:
+        return f"{'transform' if self.spark else 'list_transform'}({array}, {self.lam(var, body)})"
+
+    def keep(self, array: str, var: str, test: str) -> str:
+        return f"{'filter' if self.spark else 'list_filter'}({array}, {self.lam(var, test)})"
+
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
+    def groups(self, x: str, pattern: str, group: int = 1) -> str:
+        return f"regexp_extract_all({x}, {self.re(pattern)}, {group})"
+
+    def tagged(self, rules: list[tuple[str, str]], x: str) -> str:
+        """Array of ``tag|match`` for every match of the first group, from one pass over a column."""
+        found = [self.map(self.groups(x, p), "m", f"concat('{tag}|', m)") for tag, p in rules]
+        return f"flatten({self.array(*found)})"
+
+    def common(self, a: str, b: str) -> str:
+        return f"array_intersect({a}, {b})" if self.spark else f"list_intersect({a}, {b})"
+
+    def distinct(self, a: str) -> str:
+        return f"array_distinct({a})" if self.spark else f"list_distinct({a})"
+
+    def joined(self, a: str, by: str = ",") -> str:
+        """The distinct items in ascending order, as one string."""
+        return f"array_join(array_sort(array_distinct({a})), '{by}')" if self.spark else f"array_to_string(list_sort(list_distinct({a})), '{by}')"
+
+    def splits(self, x: str, pattern: str) -> str:
+        return f"split({x}, {self.re(pattern)})" if self.spark else f"string_split_regex({x}, '{pattern}')"
+
+    def sentences(self, x: str) -> str:
+        """Parts between line ends and after closing marks."""
+        nl = r"'$1\n'" if self.spark else "concat('\\1', chr(10))"
+        g = "" if self.spark else ", 'g'"
+        return self.lines(f"regexp_replace({x}, {self.re('([.?!。])[ ]+')}, {nl}{g})")
+
+    def hex_int(self, x: str) -> str:
+        return f"cast(conv({x}, 16, 10) AS BIGINT)" if self.spark else f"cast(('0x' || {x}) AS BIGINT)"
+
+    def sha1(self, x: str) -> str:
+        return f"sha1({x})"
