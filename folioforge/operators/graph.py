@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioforge.functions.dialect import Dialect
+from folioforge.operators.text import lines
 
 # Edge types with weight and confidence.
 EDGES = (
@@ -59,4 +60,17 @@ v3 AS (SELECT node, min(depth) AS depth FROM d3 GROUP BY node)
 SELECT node, cast(depth AS BIGINT) AS depth, round(power(0.82, greatest(depth - 1, 0)), 6) AS score FROM v3"""
 
 
-QUERIES = [graph_edges, graph_summary, degree_stats, adjacency_topn, bfs_expand]
+def kg_edges(d: Dialect) -> str:
+    """Document graph: documents, sections (numbered or capital lines) and chunks (lines of 80 characters) with typed, weighted edges."""
+    doc, sec, chunk = ("concat('document:', cast(doc_id AS STRING))", "concat('section:', cast(doc_id AS STRING), ':', cast({} AS STRING))", "concat('chunk:', cast(doc_id AS STRING), ':', cast(line_no AS STRING))")
+    head = f"length(text) <= 120 AND NOT {d.matches('text', '[.;:,]$')}"
+    return f"""
+WITH {lines(d)}, k AS (SELECT *, {head} AS head, max(CASE WHEN {head} THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM lines),
+s AS (SELECT doc_id, line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_no FROM k WHERE head)
+SELECT {doc} AS src, {sec.format('line_no')} AS dst, 'HAS_SECTION' AS kind, cast(1.0 AS DOUBLE) AS weight FROM s
+UNION ALL SELECT {sec.format('line_no')}, {sec.format('next_no')}, 'NEXT_SECTION', 1.0 FROM s WHERE next_no IS NOT NULL
+UNION ALL SELECT {doc}, {chunk}, 'HAS_CHUNK', 0.55 FROM k WHERE length(text) >= 80
+UNION ALL SELECT {sec.format('section')}, {chunk}, 'HAS_CHUNK', 0.85 FROM k WHERE length(text) >= 80 AND section IS NOT NULL"""
+
+
+QUERIES = [graph_edges, graph_summary, degree_stats, adjacency_topn, bfs_expand, kg_edges]

@@ -80,4 +80,46 @@ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, doc_id, cast(sources AS BIGINT) AS sources, score, cast(rk AS BIGINT) AS rk FROM o WHERE rk <= 20"""
 
 
-QUERIES = [bm25_term_stats, bm25_postings, bm25_search, bm25_search_filtered, vector_topk, vector_topk_filtered, hybrid_rrf]
+def hash_embedding(d: Dialect) -> str:
+    """Signed hash vector of 384 entries of every text, as its non-zero entries, of length one.
+
+    A term goes to its MD5 modulo 384 with weight 1 (0.6 for numbers, 1.2 from 8 letters on); its first five letters to their SHA-1 modulo 384 with 0.35.
+    """
+    every = d.explode(f"(SELECT doc_id, {d.match('text')} AS n FROM {d.t('documents')}) s", "doc_id", d.find_all("n", "[a-z0-9_]+"), "p", "word")
+    at = {"h": 4, "g": 5}
+
+    def modulo(x: str) -> str:
+        out = "0"
+        for k in range(at[x]):  # 2 to the 32nd is 256 modulo 384
+            out = f"(({out}) * 256 + {d.hex_int(f'substr({x}, {8 * k + 1}, 8)')}) % 384"
+        return out
+
+    return f"""
+WITH w AS (SELECT doc_id, {d.replace('word', '^_+|_+$', '')} AS term FROM ({every}) e), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE length(term) BETWEEN 2 AND 64 GROUP BY doc_id, term),
+v AS (SELECT term, md5(term) AS h, CASE WHEN length(term) >= 5 THEN {d.sha1('substr(term, 1, 5)')} END AS g FROM (SELECT DISTINCT term FROM tf) u),
+i AS (SELECT term, {modulo('h')} AS a, CASE WHEN g IS NOT NULL THEN {modulo('g')} END AS b, CASE WHEN {d.hex_int('substr(h, 30, 1)')} % 2 = 0 THEN 20 ELSE -20 END AS s, CASE WHEN {d.matches('term', '^[0-9]+$')} THEN 12 WHEN length(term) >= 8 THEN 24 ELSE 20 END AS w FROM v),
+c AS (SELECT doc_id, a AS dim, tf * w * s / 20 AS x FROM tf JOIN i ON tf.term = i.term UNION ALL SELECT doc_id, b, tf * 7 * s / 20 FROM tf JOIN i ON tf.term = i.term WHERE b IS NOT NULL),
+g AS (SELECT doc_id, dim, cast(sum(cast(x AS BIGINT)) AS BIGINT) AS x FROM c GROUP BY doc_id, dim), n AS (SELECT doc_id, sqrt(cast(sum(x * x) AS DOUBLE)) AS norm FROM g GROUP BY doc_id)
+SELECT g.doc_id, cast(dim AS BIGINT) AS dim, round(x / norm, 6) AS value FROM g JOIN n ON g.doc_id = n.doc_id WHERE x <> 0"""
+
+
+def graph_search(d: Dialect) -> str:
+    """The ten best part nodes by shared label terms, for every part whose key is divisible by 100: sum of ln(1 + tf), weight 1, confidence 0.7."""
+    terms = d.explode(f"(SELECT p_partkey, {d.match('p_name')} AS n FROM {d.t('part')}) s", "p_partkey", d.find_all("n", "[a-z0-9_]{2,}"), "p", "term")
+    return f"""
+WITH tf AS (SELECT p_partkey, term, count(*) AS tf FROM ({terms}) e GROUP BY p_partkey, term),
+s AS (SELECT q.p_partkey AS query_id, t.p_partkey AS node, round(sum(round(ln(1 + t.tf), 8)) * 0.7, 6) AS score, cast(count(*) AS BIGINT) AS matched FROM tf q JOIN tf t ON q.term = t.term WHERE q.p_partkey % 100 = 0 GROUP BY q.p_partkey, t.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rk FROM s)
+SELECT query_id, node, score, matched, cast(rk AS BIGINT) AS rk FROM r WHERE rk <= 10"""
+
+
+def context_expand(d: Dialect) -> str:
+    """The documents of each query with those of the same source just before and after; a neighbour gets 0.65 of the score."""
+    return f"""
+WITH {_search(d)}, m AS (SELECT doc_id, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM {d.t('documents')} WINDOW w AS (PARTITION BY source, cast(floor(doc_id / 1000) AS BIGINT) ORDER BY doc_id)),
+t AS (SELECT item_id, r.doc_id, score, before, after FROM r JOIN m ON r.doc_id = m.doc_id WHERE rk <= 10),
+e AS (SELECT item_id, doc_id, score, 0 AS hop FROM t UNION ALL SELECT item_id, before, score * 0.65, 1 FROM t WHERE before IS NOT NULL UNION ALL SELECT item_id, after, score * 0.65, 1 FROM t WHERE after IS NOT NULL)
+SELECT item_id, doc_id, round(max(score), 5) AS score, cast(min(hop) AS BIGINT) AS hop FROM e GROUP BY item_id, doc_id"""
+
+
+QUERIES = [bm25_term_stats, bm25_postings, bm25_search, bm25_search_filtered, vector_topk, vector_topk_filtered, hybrid_rrf, hash_embedding, graph_search, context_expand]
