@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.functions.dialect import Dialect
-from folioforge.operators import context, graph, retrieval, semantics, tables, text, understanding
+from folioforge.operators import context, graph, pages, retrieval, semantics, tables, text, understanding
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-STATEMENTS = {f.__name__: f for m in (text, retrieval, graph, tables, semantics, context, understanding) for f in m.QUERIES}
+STATEMENTS = {f.__name__: f for m in (text, retrieval, graph, tables, semantics, context, understanding, pages) for f in m.QUERIES}
 _SPARK, _DUCKDB = Dialect(True, "ff_"), Dialect(False)
 
 
