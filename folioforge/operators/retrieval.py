@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioforge.functions.dialect import Dialect
-from folioforge.operators.text import tokens
+from folioforge.operators.text import INDEX_STOPWORDS, _list, tokens
 
 K1, B = 1.5, 0.75
 RRF_K, RANK_BOOST = 60, 0.35
@@ -30,7 +30,15 @@ def bm25_postings(d: Dialect) -> str:
 
 
 def _search(d: Dialect, where: str = "1 = 1") -> str:
-    return f"""{_index(d)}, {tokens(d, 'benchmark', 'item_id', 'qt')}, q AS (SELECT DISTINCT item_id, term FROM qt WHERE item_id % 100 = 0),
+    """CTEs up to r: ranked documents of each query. Only the terms of the queries are counted per document; lengths come from the term arrays."""
+    words = d.map(d.find_all("n", "[a-z0-9_]+"), "x", d.replace("x", "^_+|_+$", ""))
+    terms = d.keep(words, "x", f"length(x) BETWEEN 2 AND 64 AND x NOT IN ({_list(INDEX_STOPWORDS)})")
+    every = d.explode("dt", "doc_id", "terms", "p", "term")
+    return f"""{tokens(d, 'benchmark', 'item_id', 'qt')}, q AS (SELECT DISTINCT item_id, term FROM qt WHERE item_id % 100 = 0),
+dt AS (SELECT doc_id, {terms} AS terms FROM (SELECT doc_id, {d.match('text')} AS n FROM {d.t('documents')}) s),
+dl AS (SELECT doc_id, sum({d.size('terms')}) AS dl FROM dt WHERE {d.size('terms')} > 0 GROUP BY doc_id), n AS (SELECT count(*) AS docs, round(avg(dl), 4) AS avgdl FROM dl),
+tf AS (SELECT e.doc_id, e.term, count(*) AS tf FROM ({every}) e JOIN (SELECT DISTINCT term FROM q) qs ON e.term = qs.term GROUP BY e.doc_id, e.term),
+ts AS (SELECT term, count(*) AS df FROM tf GROUP BY term), idf AS (SELECT term, round(ln(1 + (n.docs - df + 0.5) / (df + 0.5)), 8) AS idf FROM ts JOIN n ON 1 = 1),
 s AS (SELECT q.item_id, tf.doc_id, sum(idf.idf * tf.tf * {K1 + 1} / (tf.tf + {K1} * ({1 - B} + {B} * dl.dl / n.avgdl))) AS score
   FROM q JOIN tf ON q.term = tf.term JOIN idf ON q.term = idf.term JOIN dl ON tf.doc_id = dl.doc_id JOIN n ON 1 = 1
   JOIN {d.t('documents')} m ON m.doc_id = tf.doc_id AND {where} GROUP BY q.item_id, tf.doc_id),

@@ -159,13 +159,19 @@ SELECT doc_id, cast(o AS BIGINT) AS chunk_order, chunk_id, lag(chunk_id) OVER w
 
 
 def citation_check(d: Dialect) -> str:
-    """Benchmark items as quotes against documents that share their first four words: exact, fuzzy (at least .55 of the words), or not found."""
+    """Benchmark items as quotes against documents that share their first four words: exact, fuzzy (at least .55 of the words), or not found.
+
+    Documents meet items by the equality of four-word runs, and only the pairs found carry texts.
+    """
     words = d.explode("qd", "item_id, doc_id, q, s", d.find_all("q", r"\S{3,}"), "p", "word")
+    run = "transform(sequence(0, size(w) - 4), i -> array_join(slice(w, i + 1, 4), ' '))" if d.spark else "list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))"
+    runs = d.explode(f"(SELECT doc_id, w FROM (SELECT doc_id, {d.find_all('s', '[^ ]+')} AS w FROM s) x WHERE {d.size('w')} >= 4) y", "doc_id", run, "p", "lead4")
     return f"""
 WITH q AS (SELECT item_id, {d.match_words('text')} AS q FROM {d.t('benchmark')}),
 k AS (SELECT item_id, q, {d.extract('q', r'^(\S+ \S+ \S+ \S+)')} AS lead4 FROM q),
 s AS (SELECT doc_id, {d.match_words('text')} AS s FROM {d.t('documents')}),
-qd AS (SELECT item_id, doc_id, q, s FROM s JOIN k ON length(lead4) > 0 AND instr(s, lead4) > 0),
+g AS (SELECT DISTINCT k.item_id, r.doc_id FROM ({runs}) r JOIN k ON r.lead4 = k.lead4),
+qd AS (SELECT g.item_id, g.doc_id, q, s FROM g JOIN k ON g.item_id = k.item_id JOIN s ON g.doc_id = s.doc_id),
 f AS (SELECT item_id, doc_id, sum(CASE WHEN instr(concat(' ', s, ' '), concat(' ', word, ' ')) > 0 THEN 1.0 ELSE 0.0 END) / count(*) AS share, max(CASE WHEN instr(s, q) > 0 THEN 1 ELSE 0 END) AS exact FROM ({words}) w GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, CASE WHEN exact = 1 THEN 'verified_exact' WHEN share >= 0.55 THEN 'verified_fuzzy' ELSE 'page_available_quote_not_found' END AS status,
   round(cast(CASE WHEN exact = 1 THEN 0.92 WHEN share >= 0.55 THEN 0.65 + least(share, 0.30) ELSE 0.45 END AS DOUBLE), 4) AS confidence FROM f"""
