@@ -16,6 +16,9 @@ class Dialect:
     def t(self, name: str) -> str:
         return f"{self.prefix}{name}"
 
+    #: Index words: runs of letters, digits and inner underscores.
+    WORD = "[a-z0-9](?:[a-z0-9_]*[a-z0-9])?"
+
     def re(self, pattern: str) -> str:
         return f"r'{pattern}'" if self.spark else f"'{pattern}'"
 
@@ -55,9 +58,9 @@ class Dialect:
         x = f"translate(coalesce({x}, ''), ' Ƣƣ§', ' Ưưđ')"
         by = lambda x, p, to: f"regexp_replace({x}, {self.re(p)}, {to}{'' if self.spark else ', ' + chr(39) + 'g' + chr(39)})"
         x = by(x, r"\r\n?", nl)
-        x = by(x, r"[ \t]+", "' '")
+        x = by(x, r"[ \t]{2,}|\t", "' '")
         x = by(x, r"\n{3,}", f"concat({nl}, {nl})")
-        return by(x, r"^\s+|\s+$", "''")
+        return f"btrim({x}, ' \\t\\n\\r\\u000b\\u000c')" if self.spark else f"trim({x}, concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12)))"
 
     def fold(self, x: str) -> str:
         return f"translate(lower({x}), '{ACCENTED}', '{FOLDED}')"

@@ -31,8 +31,7 @@ def bm25_postings(d: Dialect) -> str:
 
 def _search(d: Dialect, where: str = "1 = 1") -> str:
     """CTEs up to r: ranked documents of each query. Only the terms of the queries are counted per document; lengths come from the term arrays."""
-    words = d.map(d.find_all("n", "[a-z0-9_]+"), "x", d.replace("x", "^_+|_+$", ""))
-    terms = d.keep(words, "x", f"length(x) BETWEEN 2 AND 64 AND x NOT IN ({_list(INDEX_STOPWORDS)})")
+    terms = d.keep(d.find_all("n", d.WORD), "x", f"length(x) BETWEEN 2 AND 64 AND x NOT IN ({_list(INDEX_STOPWORDS)})")
     every = d.explode("dt", "doc_id", "terms", "p", "term")
     return f"""{tokens(d, 'benchmark', 'item_id', 'qt')}, q AS (SELECT DISTINCT item_id, term FROM qt WHERE item_id % 100 = 0),
 dt AS (SELECT doc_id, {terms} AS terms FROM (SELECT doc_id, {d.match('text')} AS n FROM {d.t('documents')}) s),
@@ -93,7 +92,7 @@ def hash_embedding(d: Dialect) -> str:
 
     A term goes to its MD5 modulo 384 with weight 1 (0.6 for numbers, 1.2 from 8 letters on); its first five letters to their SHA-1 modulo 384 with 0.35.
     """
-    every = d.explode(f"(SELECT doc_id, {d.match('text')} AS n FROM {d.t('documents')}) s", "doc_id", d.find_all("n", "[a-z0-9_]+"), "p", "word")
+    every = d.explode(f"(SELECT doc_id, {d.match('text')} AS n FROM {d.t('documents')}) s", "doc_id", d.find_all("n", d.WORD), "p", "term")
     at = {"h": 4, "g": 5}
 
     def modulo(x: str) -> str:
@@ -103,7 +102,7 @@ def hash_embedding(d: Dialect) -> str:
         return out
 
     return f"""
-WITH w AS (SELECT doc_id, {d.replace('word', '^_+|_+$', '')} AS term FROM ({every}) e), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE length(term) BETWEEN 2 AND 64 GROUP BY doc_id, term),
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM ({every}) e WHERE length(term) BETWEEN 2 AND 64 GROUP BY doc_id, term),
 v AS (SELECT term, md5(term) AS h, CASE WHEN length(term) >= 5 THEN {d.sha1('substr(term, 1, 5)')} END AS g FROM (SELECT DISTINCT term FROM tf) u),
 i AS (SELECT term, {modulo('h')} AS a, CASE WHEN g IS NOT NULL THEN {modulo('g')} END AS b, CASE WHEN {d.hex_int('substr(h, 30, 1)')} % 2 = 0 THEN 20 ELSE -20 END AS s, CASE WHEN {d.matches('term', '^[0-9]+$')} THEN 12 WHEN length(term) >= 8 THEN 24 ELSE 20 END AS w FROM v),
 c AS (SELECT doc_id, a AS dim, tf * w * s / 20 AS x FROM tf JOIN i ON tf.term = i.term UNION ALL SELECT doc_id, b, tf * 7 * s / 20 FROM tf JOIN i ON tf.term = i.term WHERE b IS NOT NULL),

@@ -29,9 +29,8 @@ def lines(d: Dialect) -> str:
 
 def tokens(d: Dialect, table: str = "documents", key: str = "doc_id", name: str = "tokens") -> str:
     """CTE tokens(key, raw_pos, term): index terms in order, stopwords and single letters left out."""
-    every = d.explode(f"(SELECT {key}, {d.match('text')} AS n FROM {d.t(table)}) s", key, d.find_all("n", "[a-z0-9_]+"), "raw_pos", "word")
-    term = d.replace("word", "^_+|_+$", "")
-    return f"{name} AS (SELECT {key}, raw_pos, term FROM (SELECT {key}, raw_pos, {term} AS term FROM ({every}) e) f WHERE length(term) BETWEEN 2 AND 64 AND term NOT IN ({_list(INDEX_STOPWORDS)}))"
+    every = d.explode(f"(SELECT {key}, {d.match('text')} AS n FROM {d.t(table)}) s", key, d.find_all("n", d.WORD), "raw_pos", "term")
+    return f"{name} AS (SELECT {key}, raw_pos, term FROM ({every}) e WHERE length(term) BETWEEN 2 AND 64 AND term NOT IN ({_list(INDEX_STOPWORDS)}))"
 
 
 def normalize_match(d: Dialect) -> str:
