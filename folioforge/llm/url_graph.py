@@ -5,10 +5,14 @@ fitting rule decides. Where none fits, the link graph does: hosts that the rules
 allow are trusted seeds, hosts they block (and never allow) are distrusted
 seeds. Trust flows along host links by personalised PageRank, distrust flows
 against them (who links to blocked hosts is suspect). A host is blocked if its
-distrust reaches ``threshold`` and exceeds its trust.
+distrust reaches ``threshold`` and exceeds its trust. Every seed starts with a
+mass of 1, however many there are, so a host's scores follow from the hosts it is
+linked with and unrelated seeds change nothing.
 
 Links are reduced to weighted host pairs before anything is joined; each round
 is one join and one aggregation by host, and the lineage is cut every few rounds.
+Rounds go on until the scores of all hosts together change by no more than
+``tolerance``.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is allowed; hosts without links keep what they are seeded with;
@@ -25,6 +29,8 @@ from folioforge.llm.common import lower_ascii, materialize, table
 #: (verdict, host, start of the path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ROUNDS, DAMPING, THRESHOLD, CUT_EVERY = 8, 0.85, 1e-6, 4
+#: Change of all scores at which the rounds end, and what rounding of doubles can leave of each unit of mass. (ROUNDS is only the oracle's.)
+TOLERANCE, ROUNDING = 1e-9, 1e-14
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -56,7 +62,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs
 
 
-def _rank(nodes: DataFrame, links: DataFrame, seed: str, source: str, target: str, rounds: int, damping: float) -> DataFrame:
+def _rank(nodes: DataFrame, links: DataFrame, seed: str, source: str, target: str, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank: (host, score); mass that leaves at hosts without links is not returned."""
     out = links.groupBy(source).agg(F.sum("n").alias("total"))
     flow = links.join(out, source).select(F.col(source).alias("from"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("w"))
@@ -64,15 +70,19 @@ def _rank(nodes: DataFrame, links: DataFrame, seed: str, source: str, target: st
     now = nodes.select("host", F.col(seed).alias("base"), F.col(seed).alias("score"))
     if flow.isEmpty():
         return now.select("host", (F.lit(1 - damping) * F.col("base")).alias("score"))
-    for k in range(rounds):
-        come = now.where("score > 0").join(flow, F.col("host") == F.col("from")).groupBy("to").agg(F.sum(F.col("score") * F.col("w")).alias("come"))
-        now = now.join(come, F.col("host") == F.col("to"), "left").select("host", "base", (F.lit(1 - damping) * F.col("base") + F.lit(damping) * F.coalesce("come", F.lit(0.0))).alias("score"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            now = materialize(now, "host-rank")
-    return now.select("host", "score")
-
-
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+    # No round hands on more than ``damping`` of the change before, so this ends.
+    while True:
+        for _ in range(CUT_EVERY):
+            come = now.where("score > 0").join(flow, F.col("host") == F.col("from")).groupBy("to").agg(F.sum(F.col("score") * F.col("w")).alias("come"))
+            score = F.lit(1 - damping) * F.col("base") + F.lit(damping) * F.coalesce("come", F.lit(0.0))
+            now = now.join(come, F.col("host") == F.col("to"), "left").select("host", "base", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+        now = materialize(now, "host-rank")
+        change, mass = now.agg(F.sum("change"), F.sum("score")).first()
+        if (change or 0.0) <= max(tolerance, ROUNDING * (mass or 0.0)):
+            return now.select("host", "score")
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
@@ -83,10 +93,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float =
     )
     linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
     nodes = seeds.join(linked, "host", "full").select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.when(F.coalesce("trusted", F.lit(0.0)) > 0, 0.0).otherwise(F.coalesce("blocked", F.lit(0.0))).alias("blocked"))
-    sums = nodes.agg(F.sum("trusted"), F.sum("blocked")).first()
-    nodes = materialize(nodes.select("host", (F.col("trusted") / max(sums[0] or 0.0, 1.0)).alias("trusted"), (F.col("blocked") / max(sums[1] or 0.0, 1.0)).alias("blocked")), "host-nodes")
-    trust = _rank(nodes, links, "trusted", "src", "dst", rounds, damping).withColumnRenamed("score", "trust")
-    distrust = _rank(nodes, links, "blocked", "dst", "src", rounds, damping).withColumnRenamed("score", "distrust")
+    nodes = materialize(nodes, "host-nodes")
+    trust = _rank(nodes, links, "trusted", "src", "dst", damping, tolerance).withColumnRenamed("score", "trust")
+    distrust = _rank(nodes, links, "blocked", "dst", "src", damping, tolerance).withColumnRenamed("score", "distrust")
     suspect = distrust.join(trust, "host", "left").where((F.col("distrust") >= threshold) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("graph"))
     found = rows.join(suspect, "host", "left")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "graph", F.lit("allow")).alias("verdict"))

@@ -238,6 +238,18 @@ def test_url_graph(spark):
     assert got[6] == ("org", "", None, "allow") and got[7] == ("a.net", "", None, "allow")
 
 
+def test_url_graph_is_local(spark):
+    to = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [(0, "http://x.com/de/", "")] + [(k, f"http://near{k}.net/", to("x.com")) for k in range(1, 101)]
+    chain = [f"chain{k}.net" for k in range(12)] + ["x.com"]
+    rows += [(200 + k, f"http://{a}/", to(b)) for k, (a, b) in enumerate(zip(chain, chain[1:], strict=False))]
+    rows += [(302, "http://free.net/", "")]
+    others = [(1000 + k, f"http://o{k}.com/de/", "") for k in range(2000)]
+    verdicts = lambda r: {x.page_id: x.verdict for x in url_graph.judge(spark.createDataFrame(r, "page_id long, url string, html string")).collect() if x.page_id < 1000}
+    want = {k: "allow" if k == 302 else "block" for k, _, _ in rows}
+    assert verdicts(rows + others) == want
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
