@@ -9,7 +9,7 @@ below, tells content from the rest; content blocks are joined in page order.
 
 Edge cases: null or empty html, and pages without content blocks, give an empty
 text; unclosed tags, comments and scripts run to the end of their container or
-of the page; repeated rows each appear; an empty table gives an empty result.
+of the page; a head without end tag ends where its content does; repeated rows each appear; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ _BLOCK = frozenset(
     "head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 #: Elements whose text is never shown; their content is skipped to the closing tag.
-_UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea head title".split())
+_UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+#: Unseen elements whose content is text: no tag counts in it but their own closing one.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for t in "script style noscript iframe textarea title".split()}
+#: In a script, "<!--" and "<script" open a part in which "</script" closes only the inner one.
+_SCRIPT = re.compile(r"<!--(?!-?>)|-->|<(/?)script(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CONTENT_TAGS = frozenset(("article", "main"))
 _OTHER_TAGS = frozenset("nav footer header aside form button menu dialog fieldset".split())
@@ -73,13 +77,33 @@ def _other(tag: str, attributes: str) -> bool:
     return False
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the closing tag of a raw-text element stands, or the end of the page."""
+    if tag != "script":
+        m = _RAW[tag].search(html, at)
+        return m.start() if m else len(html)
+    depth = 0  # 1 in a comment, 2 in a script of that comment
+    for m in _SCRIPT.finditer(html, at):
+        if m[0] == "<!--":
+            depth = max(depth, 1)
+        elif m[0] == "-->":
+            depth = 0
+        elif not m[1]:
+            depth = 2 if depth else 0
+        elif depth < 2:
+            return m.start()
+        else:
+            depth = 1
+    return len(html)
+
+
 def blocks(html: str) -> list[Block]:
     """Flat text blocks in page order."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, str | None]] = [("", False, False, None)]
     text: list[str] = []
     linked: list[str] = []
-    links, skip = 0, ""
+    links, skip, at = 0, "", 0
 
     def flush() -> None:
         if text:
@@ -91,8 +115,10 @@ def blocks(html: str) -> list[Block]:
             text.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(html):
-        token, tag = m[0], m[1]
+    while m := _TOKEN.match(html, at):
+        token, tag, at = m[0], m[1], m.end()
+        if tag and token[1] != "/" and not token.endswith("/>") and (raw := tag.lower()) in _RAW:
+            at = _raw_end(html, raw, at)
         if skip:
             if tag and token[1] == "/" and tag.lower() == skip:
                 skip = ""
@@ -110,6 +136,9 @@ def blocks(html: str) -> list[Block]:
                 flush()
             if not closing and not token.endswith("/>"):
                 skip = tag
+        elif tag == "head":
+            # What may stand in a head is unseen anyway; the first other thing is the body's.
+            flush()
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":

@@ -200,6 +200,23 @@ def test_html(spark):
     assert [(r.page_id, r.n_chars) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, 0), (2, 22)]
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n;i++){f(i);}</script>",
+        "<head><title>a<b</title><script>if(a<b){}</script></head>",
+        "<html><head class='ad'><title>t</title><meta charset=x><style>a<b{}</style>",
+        "<head><script>x='<p>'</SCRIPT ><template><p>no</template>",
+        "<textarea>a<b</textarea><svg><style>a<b</style></svg>",
+        "<script><!-- <script>a<b</script> c<d --></script>",
+        "<script><!-- a<b </script>",
+    ],
+)
+def test_html_raw_text(before):
+    assert html_text.main_text(before + "<article><h1>A title</h1><p>one two three</article>") == "A title\none two three"
+    assert html_text.main_text("<article><p>one two three</p></article><script>a<b") == "one two three"
+
+
 def test_warc_round_trip(spark):
     rows = [(k, f"http://h/{k}", f"<p>{k % 7} é</p>" * (k % 7)) for k in range(40)] + [(99, None, None), (3, "again", "<p>3 é</p>" * 3), (None, "n", "only"), (None, "n", "<p>1 é</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
