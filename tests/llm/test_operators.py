@@ -275,6 +275,15 @@ def test_keep_one(docs):
     assert len(ids) == len(set(ids)) == len(groups)
 
 
+def test_pipeline_decontamination_keeps_clean_rows(spark, docs):
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(k, t, "en", "s", len(t), c, 1) for k in (None, 7) for c, t in (("hit", f"so {item} it goes"), ("clean", "some clean text of this very id"), ("clean", "another clean text of this very id"))]
+    got = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, docs.schema), folder)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(r) for r in rows if r[5] == "clean")
+
+
 def test_pipeline_runs(spark, tmp_path):
     from folioforge.llm.common import materialize
 
