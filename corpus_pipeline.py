@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops the documents that hold a benchmark item; each row is judged by itself, whatever ids it shares."""
     # The numbers are written out with the rows, so that every read sees the same ones.
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__hit")).distinct()
+    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), short_items=True).select(F.col("doc_id").alias("__hit")).distinct()
     found = materialize(found, "contaminated")
     return rows.join(found, F.col("__row") == F.col("__hit"), "left_anti").select(*docs.columns)
 

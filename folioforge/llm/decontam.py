@@ -20,8 +20,11 @@ windows unfound, and none that are equal.
 
 Shingles are compared as 64-bit hashes. Edge cases: null or blank texts and
 items without words match nothing; a text or item under five words is a single
-shingle, so such an item matches only a text of just its words; repeated rows of an id count as one document; a null id is reported
-as null; empty tables give an empty result.
+shingle; an item under five words is looked for as a run of its words (shingles
+as wide as the item) where ``short_items`` is set, as the query and the pipeline
+do, else it matches only a text of just its words; repeated rows of an id count
+as one document; a null id is reported as null; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -84,11 +87,33 @@ def _blocks(fp: str, n: int) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(k << 32)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def _short(docs: DataFrame, bench: DataFrame) -> DataFrame | None:
+    """The first run of words equal to an item under five words, of each pair; None without such items."""
+    widths = sorted(r.m for r in bench.select("m").distinct().collect())
+    runs = None
+    for m in widths:
+        w = _worded(docs.select("doc_id", "text"), "doc_id", "text").where(F.col("n") >= m)
+        placed = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("n") - m)).alias("p"))
+        placed = placed.select("doc_id", "p", F.lit(m).alias("m"), F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(m)]).alias("h"))
+        runs = placed if runs is None else runs.union(placed)
+    if runs is None:
+        return None
+    known = bench.select("item_id", "m", F.get("ih", F.lit(0)).alias("h"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    found = runs.join(known, ["m", "h"]).groupBy("doc_id", "item_id").agg(F.min("p").alias("s"), F.min("m").alias("m"))
+    return found.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), F.col("s").cast("long").alias("start_word"), F.col("m").cast("long").alias("n_words"), F.lit(0).cast("long").alias("distance"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, short_items: bool = False) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words, distance: the best window (then the earliest) of each pair found."""
     bench = _worded(items.select("item_id", "text"), "item_id", "text").withColumn("ih", _hashes())
     bench = bench.select("item_id", F.col("n").alias("m"), F.col("k").alias("ik"), "ih").withColumn("ifp", simhash(F.col("ih")))
     bench = materialize(bench, "decontam-items")
+    short = None
+    if short_items:
+        short = _short(docs, bench.where(F.col("m") < WIDTH))
+        bench = bench.where(F.col("m") >= WIDTH)
     known = bench.select("item_id", "m", "ik", F.explode(F.array_distinct("ih")).alias("h"))
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -123,12 +148,13 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     best = F.struct(F.col("similarity"), (-F.col("s")).alias("s"))
     exact = exact.withColumn("distance", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))))
     out = exact.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "s", "m", "distance"), best).alias("x"))
-    return out.select("doc_id", "item_id", F.round("x.similarity", 6).alias("similarity"), F.col("x.s").cast("long").alias("start_word"), F.col("x.m").cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"))
+    out = out.select("doc_id", "item_id", F.round("x.similarity", 6).alias("similarity"), F.col("x.s").cast("long").alias("start_word"), F.col("x.m").cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"))
+    return out if short is None else out.union(short)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every contaminated document with each item it holds."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True).drop("distance")
 
 
 def oracle() -> str:

@@ -123,6 +123,23 @@ def test_decontamination(spark, docs, none):
     assert decontam.contaminated(none, items).count() == 0
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    items = [(1, "Alone"), (2, "two words"), (3, "only three words"), (4, "these are four words"), (5, "now there are five words"), (6, " ")]
+    texts = ["x only THREE words", "only three words", "two words, two words two words", "words two", "so these are four words and now there are five words alone", "only three", "three words", None, "alone"]
+    rows = [*enumerate(texts), (None, "y alone")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, t in rows:
+        w = (t or "").lower().split()
+        for i, b in items:
+            b = b.lower().split()
+            at = [s for s in range(len(w) - len(b) + 1) if w[s : s + len(b)] == b]
+            if b and at:
+                want.add((d, i, 1.0, at[0], len(b)))
+    assert {tuple(r) for r in decontam.op4_decontamination(spark, str(tmp_path)).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return encoding.Encoder(encoding.default_path()).tokenizer
