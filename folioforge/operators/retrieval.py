@@ -121,9 +121,19 @@ SELECT query_id, node, score, matched, cast(rk AS BIGINT) AS rk FROM r WHERE rk
 
 
 def context_expand(d: Dialect) -> str:
-    """The documents of each query with those of the same source just before and after; a neighbour gets 0.65 of the score."""
+    """The documents of each query with those of the same source just before and after; a neighbour gets 0.65 of the score.
+
+    Windows are by blocks of 1,000 ids; over an edge, Spark takes the neighbour from the nearest block before or after that has the source. The DuckDB statement looks no further than the block.
+    """
+    block, w = "cast(floor(doc_id / 1000) AS BIGINT)", "WINDOW w AS (PARTITION BY source, cast(floor(doc_id / 1000) AS BIGINT) ORDER BY doc_id)"
+    near = f"m AS (SELECT doc_id, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM {d.t('documents')} {w})"
+    if d.spark:
+        near = f"""eb AS (SELECT source, {block} AS block, min(doc_id) AS low, max(doc_id) AS high FROM {d.t('documents')} WHERE doc_id IS NOT NULL GROUP BY source, {block}),
+en AS (SELECT source, block, lag(high) OVER (PARTITION BY source ORDER BY block) AS high, lead(low) OVER (PARTITION BY source ORDER BY block) AS low FROM eb),
+ew AS (SELECT doc_id, source, {block} AS block, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM {d.t('documents')} {w}),
+m AS (SELECT doc_id, coalesce(before, high) AS before, coalesce(after, low) AS after FROM ew LEFT JOIN en ON ew.source <=> en.source AND ew.block = en.block)"""
     return f"""
-WITH {_search(d)}, m AS (SELECT doc_id, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM {d.t('documents')} WINDOW w AS (PARTITION BY source, cast(floor(doc_id / 1000) AS BIGINT) ORDER BY doc_id)),
+WITH {_search(d)}, {near},
 t AS (SELECT item_id, r.doc_id, score, before, after FROM r JOIN m ON r.doc_id = m.doc_id WHERE rk <= 10),
 e AS (SELECT item_id, doc_id, score, 0 AS hop FROM t UNION ALL SELECT item_id, before, score * 0.65, 1 FROM t WHERE before IS NOT NULL UNION ALL SELECT item_id, after, score * 0.65, 1 FROM t WHERE after IS NOT NULL)
 SELECT item_id, doc_id, round(max(score), 5) AS score, cast(min(hop) AS BIGINT) AS hop FROM e GROUP BY item_id, doc_id"""
