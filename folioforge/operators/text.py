@@ -157,13 +157,34 @@ c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) -
 SELECT doc_id, cast(o AS BIGINT) AS chunk_order, chunk_id, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id, cast(n AS BIGINT) AS n_chars FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY o)"""
 
 
+def _citations(d: Dialect) -> str:
+    """The Spark form of citation_check: runs are of four words, or of all words of a shorter item."""
+    words = lambda x: d.find_all(x, "[^ ]+")
+    runs = "transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))"
+    return f"""
+WITH q AS (SELECT item_id, q, w, least(size(w), 4) AS n FROM (SELECT item_id, q, {words('q')} AS w FROM (SELECT item_id, {d.match_words('text')} AS q FROM {d.t('benchmark')}) a) b WHERE size(w) > 0),
+k AS (SELECT item_id, run, min(p) AS p FROM (SELECT item_id, p, run FROM q LATERAL VIEW posexplode({runs}) x AS p, run) a GROUP BY item_id, run),
+s AS (SELECT doc_id, {d.match_words('text')} AS s FROM {d.t('documents')}),
+v AS (SELECT doc_id, w, n FROM (SELECT doc_id, {words('s')} AS w FROM s) a JOIN (SELECT DISTINCT n FROM q) b ON size(w) >= n),
+r AS (SELECT doc_id, run FROM v LATERAL VIEW explode({runs}) x AS run),
+g AS (SELECT k.item_id, r.doc_id, max(CASE WHEN k.p = 0 THEN 1 ELSE 0 END) AS led FROM r JOIN k ON r.run = k.run GROUP BY k.item_id, r.doc_id),
+qd AS (SELECT g.item_id, g.doc_id, led, q, s FROM g JOIN q ON g.item_id = q.item_id JOIN s ON g.doc_id = s.doc_id),
+e AS (SELECT item_id, doc_id, led, q, s, word FROM qd LATERAL VIEW OUTER explode({d.find_all("q", r"\S{3,}")}) x AS word),
+f AS (SELECT item_id, doc_id, max(led) AS led, sum(CASE WHEN instr(concat(' ', s, ' '), concat(' ', word, ' ')) > 0 THEN 1.0 ELSE 0.0 END) / count(*) AS share, max(CASE WHEN instr(s, q) > 0 THEN 1 ELSE 0 END) AS exact FROM e GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, CASE WHEN exact = 1 THEN 'verified_exact' WHEN share >= 0.55 THEN 'verified_fuzzy' ELSE 'page_available_quote_not_found' END AS status,
+  round(cast(CASE WHEN exact = 1 THEN 0.92 WHEN share >= 0.55 THEN 0.65 + least(share, 0.30) ELSE 0.45 END AS DOUBLE), 4) AS confidence FROM f WHERE led = 1 OR exact = 1 OR share >= 0.55"""
+
+
 def citation_check(d: Dialect) -> str:
     """Benchmark items as quotes against documents that share their first four words: exact, fuzzy (at least .55 of the words), or not found.
 
-    Documents meet items by the equality of four-word runs, and only the pairs found carry texts.
+    Documents meet items by the equality of four-word runs, and only the pairs found carry texts. In Spark any run of the item counts, not only the first, and items under four
+    words are looked for whole; pairs without the first four words are kept if the quote is found. The DuckDB statement knows the first four words only.
     """
+    if d.spark:
+        return _citations(d)
     words = d.explode("qd", "item_id, doc_id, q, s", d.find_all("q", r"\S{3,}"), "p", "word")
-    run = "transform(sequence(0, size(w) - 4), i -> array_join(slice(w, i + 1, 4), ' '))" if d.spark else "list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))"
+    run = "list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))"
     runs = d.explode(f"(SELECT doc_id, w FROM (SELECT doc_id, {d.find_all('s', '[^ ]+')} AS w FROM s) x WHERE {d.size('w')} >= 4) y", "doc_id", run, "p", "lead4")
     return f"""
 WITH q AS (SELECT item_id, {d.match_words('text')} AS q FROM {d.t('benchmark')}),

@@ -16,3 +16,12 @@ def test_neighbours_over_block_edges(spark, tmp_path):
     hits = {k for k, t, *_ in docs if t == "rarest term"}
     near = {x for ks in ids.values() for a, z in zip(ks, ks[1:], strict=False) for k, x in ((a, z), (z, a)) if k in hits}
     assert got == {(k, 0) for k in hits} | {(k, 1) for k in near - hits}
+
+
+def test_quotes_with_altered_start(spark, tmp_path):
+    quote = "alpha beta gamma delta epsilon zeta theta iota kappa lambda"
+    items = [(1, quote), (2, "zeta theta"), (3, "of it"), (4, "one two three four five six seven eight nine ten"), (5, None)]
+    docs = [(1, f"so {quote} ends"), (2, "ALPHA beta changed delta epsilon zeta theta iota kappa lambda"), (3, "alpha beta gamma delta and nothing more"), (4, "seven eight nine ten"), (5, "part of it"), (6, None)]
+    got = {(r.item_id, r.doc_id, r.status) for r in catalog.run("citation_check", spark, write(spark, tmp_path, [(k, t, "en", "s", 1) for k, t in docs], items)).collect()}
+    found, fuzzy, missed = "verified_exact", "verified_fuzzy", "page_available_quote_not_found"
+    assert got == {(1, 1, found), (1, 2, fuzzy), (1, 3, missed), (2, 1, found), (2, 2, found), (3, 5, found)}
