@@ -25,3 +25,9 @@ def test_quotes_with_altered_start(spark, tmp_path):
     got = {(r.item_id, r.doc_id, r.status) for r in catalog.run("citation_check", spark, write(spark, tmp_path, [(k, t, "en", "s", 1) for k, t in docs], items)).collect()}
     found, fuzzy, missed = "verified_exact", "verified_fuzzy", "page_available_quote_not_found"
     assert got == {(1, 1, found), (1, 2, fuzzy), (1, 3, missed), (2, 1, found), (2, 2, found), (3, 5, found)}
+
+
+def test_category_of_long_texts(spark, tmp_path):
+    docs = [(1, "word " * 4000 + "hop dong", "en", "s", 1), (2, "word " * 4000, "en", "s", 1)]
+    got = {r.doc_id: r.category for r in catalog.run("quality_flags", spark, write(spark, tmp_path, docs, [(0, "x")])).collect()}
+    assert got == {1: "contract", 2: "document"}
