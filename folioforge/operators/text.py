@@ -5,14 +5,17 @@ from __future__ import annotations
 from folioforge.functions.dialect import Dialect
 
 # Words that keyword extraction ignores.
-KEYWORD_STOPWORDS = (
-    "va hoac cua cho cac mot nhung duoc trong ngoai theo voi den tu tai ve la co khong nay do khi sau truoc tren duoi vao ra de nham phuc vu can phai bao dam "
-    "quy dinh noi dung thuc hien quan ly nha nuoc"
-).split()
+KEYWORD_STOPWORDS = [
+    "va", "hoac", "cua", "cho", "cac", "mot", "nhung", "duoc", "trong", "ngoai", "theo", "voi", "den", "tu", "tai", "ve", "la", "co", "khong", "nay", "do",
+    "khi", "sau", "truoc", "tren", "duoi", "vao", "ra", "de", "nham", "phuc", "vu", "can", "phai", "bao", "dam", "quy", "dinh", "noi", "dung",
+    "thuc", "hien", "quan", "ly", "nha", "nuoc",
+]
 # Words that the indexes ignore.
 INDEX_STOPWORDS = [
-    *KEYWORD_STOPWORDS, "du", "lieu", "he", "thong", "chuc", "nang", "phan", "mem", "duan", "du an", "this", "that", "with", "from", "into", "about",
-    "the", "and", "or", "for", "to", "of", "in", "on", "by", "is", "are", "be", "as", "at",
+    "va", "hoac", "cua", "cho", "cac", "mot", "nhung", "duoc", "trong", "ngoai", "theo", "voi", "den", "tu", "tai", "ve", "la", "co", "khong", "nay", "do",
+    "khi", "sau", "truoc", "tren", "duoi", "vao", "ra", "de", "nham", "phuc", "vu", "can", "phai", "bao", "dam", "quy", "dinh", "noi", "dung",
+    "thuc", "hien", "quan", "ly", "nha", "nuoc", "du", "lieu", "he", "thong", "chuc", "nang", "phan", "mem", "duan", "du an",
+    "this", "that", "with", "from", "into", "about", "the", "and", "or", "for", "to", "of", "in", "on", "by", "is", "are", "be", "as", "at",
 ]
 VIETNAMESE = "[àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ]"
 
