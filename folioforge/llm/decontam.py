@@ -5,32 +5,34 @@ item has (the whole document, if that is shorter) reaches a weighted shingle
 similarity of at least ``similarity``: shingles of five words, A-Z lower-cased,
 each weighted by how often it occurs (sum of minima over sum of maxima).
 
-1. Windows. A window can only reach the similarity if it holds at least
-   ``similarity * weight(item)`` occurrences of shingles of the item, so windows
-   are laid only where that many occur; nothing that could match is lost.
+1. Anchors. Every shingle of every text is looked up among the shingles of all
+   items, which tells only of what sizes the items are that hold it. A window of
+   m words is laid only where it holds at least ``similarity`` times as many
+   anchors of size m as an item of that size has shingles: nothing that could
+   match is lost, and which item it may be is not known yet.
 2. Fingerprints. Each window gets a 64-bit SimHash of its shingles.
-3. Candidates. Fingerprints are cut into ``radius + 1`` blocks; within
-   ``radius`` bits at least one block is equal, so joining windows and items
-   of one size on (block number, block value) finds all of them.
-4. Verification. Candidates within the radius keep the exact similarity.
+3. Candidates. Fingerprints are cut into four blocks of 16 bits; within
+   ``radius`` bits at least one block differs in at most ``radius // 4`` bits, so
+   items are filed under every block value that near their own, and windows look up
+   the items of their size under their own four block values. All fingerprints
+   within the radius are found; no others are kept.
+4. Verification. The candidates' windows keep the exact similarity.
 
 At a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, with a
 deviation of 3; a radius of 19 leaves about one in a thousand such borderline
 windows unfound, and none that are equal.
 
 Shingles are compared as 64-bit hashes. Edge cases: null or blank texts and
-items without words match nothing; a text or item under five words is a single
-shingle; an item under five words is looked for as a run of its words (shingles
-as wide as the item) where ``short_items`` is set, as the query and the pipeline
-do, else it matches only a text of just its words; repeated rows of an id count
-as one document; a null id is reported as null; empty tables give an empty
-result.
+items without words match nothing; an item under five words is looked for as a run
+of its words, and equal shorter runs are found whole, so they need no fingerprint;
+rows that share an id (or have none) are searched as texts of their own, and an id
+is reported once with each item that any of its texts holds; equal rows count once;
+equal items are all reported; a null id is reported as null; extra columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,37 +41,36 @@ from folioforge.llm.common import SPACE, lower_ascii, materialize, table, words_
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Item shingles are broadcast only up to this many rows (24 bytes each); beyond, Spark picks the join.
 BROADCAST_ROWS = 1_000_000
+#: Blocks of a fingerprint, and starts of windows that share one slice of a text.
+BLOCKS, CHUNK = 4, 256
 
 
-def _shingle_at(w: str, p: Column) -> Column:
-    return F.xxhash64(*[F.get(w, p + k) for k in range(WIDTH)])
-
+def _worded(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, w, n: the words of ``text`` and their number, of rows that have words."""
+    return rows.select(*keys, words_of(lower_ascii(F.col("text"))).alias("w")).select(*keys, "w", F.size("w").alias("n")).where("n > 0")
 
-def _n_shingles(n: Column) -> Column:
-    return F.when(n == 0, 0).otherwise(F.greatest(n - (WIDTH - 1), F.lit(1))).cast("int")
 
+def _hashes(width: int = WIDTH) -> Column:
+    """One hash for each run of ``width`` words of ``w`` (n at least ``width``)."""
+    return F.transform(F.sequence(F.lit(0), F.col("n") - width), lambda p: F.xxhash64(*[F.get("w", p + k) for k in range(width)]))
 
-def _worded(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, w, n, k: words, their number and the number of shingles."""
-    d = rows.select(F.col(key), words_of(lower_ascii(F.col(text))).alias("w"))
-    return d.select(key, "w", F.size("w").alias("n"), _n_shingles(F.size("w")).alias("k")).where("k > 0")
 
+def simhash(h: str) -> str:
+    """SQL of the SimHash of an array of hashes: a bit is 1 if it is set in over half of them.
 
-def _hashes() -> Column:
-    return F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda p: _shingle_at("w", p))
+    Counters lie side by side in longs (lanes of 8, 16 or 32 bits, by the number of
+    hashes). A lane starts ``2**(lane-1) - 1 - n // 2`` above zero, so its top bit is set
+    where it counts more than n // 2; the uppermost starts ``n // 2 + 1`` below zero, so the sign tells the same.
+    """
+    half = f"(size({h}) div 2)"
 
+    def by(lane: int) -> str:
+        ones, uppermost = sum(1 << k for k in range(0, 64, lane)), 1 << (64 - lane)
+        start = f"({(1 << (lane - 1)) - 1}L - {half}) * {ones - uppermost}L - ({half} + 1L) * {uppermost}L"
+        counts = (f"aggregate({h}, {start}, (a, x) -> a + (shiftrightunsigned(x, {b}) & {ones}L))" for b in range(lane))
+        return " | ".join(f"shiftleft(shiftrightunsigned({c} ^ shiftleft(1L, 63), {lane - 1}) & {ones}L, {b})" for b, c in enumerate(counts))
 
-def simhash(hashes: Column) -> Column:
-    """A bit is 1 if it is set in over half of the hashes; two 32-bit counters per sum."""
-    n = F.size(hashes)
-    mask = F.lit(0x0000000100000001)
-    total = F.lit(0).cast("long")
-    for b in range(32):
-        s = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(mask))  # noqa: B023
-        # One struct per sum keeps the aggregate evaluated once.
-        two = F.transform(F.array(s), lambda v: F.when(2 * v.bitwiseAND(F.lit(0xFFFFFFFF)) > n, F.lit(1).cast("long")).otherwise(F.lit(0)) + F.when(2 * F.shiftrightunsigned(v, 32) > n, F.lit(1 << 32)).otherwise(F.lit(0)))
-        total = total.bitwiseOR(F.shiftleft(F.get(two, F.lit(0)), b))
-    return total
+    return f"CASE WHEN size({h}) < {1 << 7} THEN {by(8)} WHEN size({h}) < {1 << 15} THEN {by(16)} ELSE {by(32)} END"
 
 
 def _bag_overlap(a: Column, b: Column) -> Column:
@@ -81,84 +82,104 @@ def _bag_overlap(a: Column, b: Column) -> Column:
     return F.when(distinct, F.size(F.array_intersect(a, b))).otherwise(slow)
 
 
-def _blocks(fp: str, n: int) -> Column:
-    """(number, value) of n blocks of a 64-bit fingerprint, as one long each."""
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(k << 32)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def _blocks(fp: str) -> Column:
+    """The four 16-bit blocks of a fingerprint, each with its number above."""
+    return F.array(*[F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").bitwiseOR(F.lit(k << 16)) for k in range(BLOCKS)])
+
+
+def _near(block: Column, flips: int) -> Column:
+    """All block values that differ from one in at most ``flips`` bits."""
+    masks = ",".join(str(m) for m in range(1 << 16) if m.bit_count() <= flips)
+    return F.transform(F.split(F.lit(masks), ",").cast("array<int>"), lambda m: block.bitwiseXOR(m))
 
 
-def _short(docs: DataFrame, bench: DataFrame) -> DataFrame | None:
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast where its checked size allows it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _short(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     """The first run of words equal to an item under five words, of each pair; None without such items."""
-    widths = sorted(r.m for r in bench.select("m").distinct().collect())
-    runs = None
+    short = items.where(F.col("n") < WIDTH)
+    widths = sorted(r.n for r in short.select("n").distinct().collect())  # at most four
+    out = None
     for m in widths:
-        w = _worded(docs.select("doc_id", "text"), "doc_id", "text").where(F.col("n") >= m)
-        placed = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("n") - m)).alias("p"))
-        placed = placed.select("doc_id", "p", F.lit(m).alias("m"), F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(m)]).alias("h"))
-        runs = placed if runs is None else runs.union(placed)
-    if runs is None:
-        return None
-    known = bench.select("item_id", "m", F.get("ih", F.lit(0)).alias("h"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    found = runs.join(known, ["m", "h"]).groupBy("doc_id", "item_id").agg(F.min("p").alias("s"), F.min("m").alias("m"))
-    return found.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), F.col("s").cast("long").alias("start_word"), F.col("m").cast("long").alias("n_words"), F.lit(0).cast("long").alias("distance"))
-
-
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, short_items: bool = False) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words, distance: the best window (then the earliest) of each pair found."""
-    bench = _worded(items.select("item_id", "text"), "item_id", "text").withColumn("ih", _hashes())
-    bench = bench.select("item_id", F.col("n").alias("m"), F.col("k").alias("ik"), "ih").withColumn("ifp", simhash(F.col("ih")))
-    bench = materialize(bench, "decontam-items")
-    short = None
-    if short_items:
-        short = _short(docs, bench.where(F.col("m") < WIDTH))
-        bench = bench.where(F.col("m") >= WIDTH)
-    known = bench.select("item_id", "m", "ik", F.explode(F.array_distinct("ih")).alias("h"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    worded = _worded(docs.select("doc_id", "text"), "doc_id", "text")
-    placed = worded.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p")).select("doc_id", F.col("p"), _shingle_at("w", F.col("p")).alias("h"))
-    least = F.ceil(F.col("ik") * F.lit(similarity) - 1e-9).cast("int")
-    # Positions of one text that hold shingles of one item: at most as many as the text has words.
-    pairs = placed.join(known, "h").groupBy("doc_id", "item_id", "m", "ik").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") >= least)
-    pairs = materialize(pairs.withColumn("t", least), "decontam-pairs")
-    # Starts s of windows over p[i] .. p[i+t-1]: the window's shingles are s .. s+ik-1.
+        known = _small(short.where(F.col("n") == m).select("item", "item_id", _hashes(m).alias("h")).select("item", "item_id", F.get("h", F.lit(0)).alias("h")))
+        placed = _worded(docs, "doc_id").where(F.col("n") >= m).select("doc_id", F.posexplode(_hashes(m)).alias("p", "h"))
+        found = placed.join(known, "h").groupBy("doc_id", "item", "item_id").agg(F.min("p").alias("s"))
+        found = found.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), F.col("s").cast("long").alias("start_word"), F.lit(m).cast("long").alias("n_words"), F.lit(0).cast("long").alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def windows(docs: DataFrame, bench: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(parts, windows): slices of the texts that hold enough anchors, and start and fingerprint of every window in them.
+
+    A part is (doc_id, dg, m, c, part): the shingle hashes from start ``c * CHUNK`` on, as many as its windows need.
+    """
+    known = _small(bench.select("m", F.explode("ih").alias("h")).distinct())
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dg"))
+    hashed = _worded(keyed, "doc_id", "dg").where(F.col("n") >= WIDTH)
+    anchors = hashed.select("doc_id", "dg", "n", F.posexplode(_hashes()).alias("p", "h")).join(known, "h")
+    k = F.col("m") - (WIDTH - 1)
+    least = F.ceil(k * F.lit(similarity) - 1e-9).cast("int")
+    # Positions of one text: at most as many as it has words.
+    runs = anchors.groupBy("doc_id", "dg", "n", "m").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") >= least)
+    runs = materialize(runs.withColumn("t", least), "decontam-anchors")
+    # Starts s of windows over p[i] .. p[i+t-1]: the window's shingles are s .. s+k-1; one too near the end names the last window.
     spans = F.transform(
         F.sequence(F.lit(0), F.size("ps") - F.col("t")),
-        lambda i: F.struct(F.greatest(F.get("ps", i + F.col("t") - 1) - F.col("ik") + 1, F.lit(0)).alias("a"), F.get("ps", i).alias("b")),
+        lambda i: F.struct(F.greatest(F.get("ps", i + F.col("t") - 1) - k + 1, F.lit(0)).alias("a"), F.get("ps", i).alias("b")),
     )
-    starts = pairs.select("doc_id", "m", F.explode(F.filter(spans, lambda x: x.a <= x.b)).alias("x")).select("doc_id", "m", F.explode(F.sequence("x.a", "x.b")).alias("s"))
-    starts = starts.groupBy("doc_id", "m").agg(F.collect_set("s").alias("ss"))
-    named = pairs.select(F.col("doc_id").alias("hit")).distinct()
-    texts = _worded(docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi"), "doc_id", "text").withColumn("hs", _hashes())
-    opened = texts.select(F.col("doc_id").alias("id"), "n", "hs").join(starts, F.col("id").eqNullSafe(F.col("doc_id")))
-    # A start too near the end names the last window.
     last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
-    windows = opened.select("doc_id", "m", "hs", F.explode(F.array_distinct(F.transform("ss", lambda s: F.least(s, last)))).alias("s"))
-    windows = windows.select("doc_id", "m", "s", F.slice("hs", F.col("s") + 1, _n_shingles(F.col("m"))).alias("ws"))
-    windows = materialize(windows.withColumn("wfp", simhash(F.col("ws"))), "decontam-windows")
-    blocks = radius + 1
-    near = windows.select("m", "wfp").distinct().select("m", "wfp", F.explode(_blocks("wfp", blocks)).alias("block"))
-    targets = bench.select("item_id", "m", "ifp", F.explode(_blocks("ifp", blocks)).alias("block"))
-    found = near.join(targets, ["m", "block"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("m", "wfp", "item_id").distinct()
-    exact = windows.join(found, ["m", "wfp"]).join(bench.select("item_id", "ih", "ifp"), "item_id")
-    exact = exact.withColumn("both", _bag_overlap(F.col("ws"), F.col("ih")))
+    starts = runs.select("doc_id", "dg", "m", last.alias("last"), F.explode(F.filter(spans, lambda x: x.a <= x.b)).alias("x"))
+    starts = starts.select("doc_id", "dg", "m", F.explode(F.sequence(F.least("x.a", "last"), F.least("x.b", "last"))).alias("s"))
+    chunks = starts.groupBy("doc_id", "dg", "m", F.floor(F.col("s") / CHUNK).cast("int").alias("c")).agg(F.collect_set("s").alias("ss"))
+    chunks = chunks.select(F.col("doc_id").alias("id"), F.col("dg").alias("digest"), "m", "c", "ss")
+    hit = runs.select(F.col("doc_id").alias("id"), F.col("dg").alias("digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dg") == F.col("digest"))
+    texts = _worded(keyed.join(hit, same, "left_semi").dropDuplicates(["doc_id", "dg"]), "doc_id", "dg").select("doc_id", "dg", _hashes().alias("hs"))
+    parts = texts.join(chunks, same).select("doc_id", "dg", "m", "c", "ss", F.slice("hs", F.col("c") * CHUNK + 1, CHUNK + k).alias("part"))
+    parts = materialize(parts, "decontam-parts")
+    cut = f"transform(ss, s -> named_struct('s', s, 'ws', slice(part, s - c * {CHUNK} + 1, m - {WIDTH - 1})))"
+    made = parts.select("doc_id", "dg", "m", "c", F.explode(F.expr(f"transform({cut}, y -> named_struct('s', y.s, 'wfp', {simhash('y.ws')}))")).alias("x"))
+    return parts, materialize(made.select("doc_id", "dg", "m", "c", "x.s", "x.wfp"), "decontam-windows")
+
+
+def candidates(fingerprints: DataFrame, bench: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(m, wfp, item, ifp): all pairs of a window's and an item's fingerprint of one size within ``radius`` bits."""
+    filed = bench.select("m", "item", "ifp", F.explode(_blocks("ifp")).alias("block")).select("m", "item", "ifp", F.explode(_near(F.col("block"), radius // BLOCKS)).alias("block"))
+    asked = fingerprints.select("m", "wfp").distinct().select("m", "wfp", F.explode(_blocks("wfp")).alias("block"))
+    return asked.join(filed, ["m", "block"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("m", "wfp", "item", "ifp").distinct()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words, distance: the best window (then the earliest) of each pair found."""
+    docs = docs.select("doc_id", "text")
+    named = materialize(_worded(items.select("item_id", "text"), "item_id").withColumn("item", F.monotonically_increasing_id()), "decontam-words")
+    bench = named.where(F.col("n") >= WIDTH).select("item", "item_id", F.col("n").alias("m"), _hashes().alias("ih"))
+    bench = materialize(bench.withColumn("ifp", F.expr(simhash("ih"))), "decontam-items")
+    parts, laid = windows(docs, bench, similarity)
+    pairs = laid.join(candidates(laid, bench, radius), ["m", "wfp"]).select(F.col("doc_id").alias("id"), F.col("dg").alias("digest"), "m", "c", "s", "wfp", "item", "ifp")
+    of = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dg") == F.col("digest"))
+    exact = parts.drop("ss").join(pairs, ["m", "c"]).where(of).join(bench.select("item", "item_id", "ih"), "item")
+    exact = exact.withColumn("ws", F.slice("part", F.col("s") - F.col("c") * CHUNK + 1, F.col("m") - (WIDTH - 1)))
+    exact = exact.select("doc_id", "item", "item_id", "m", "s", "ws", "ih", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))).alias("distance"), _bag_overlap(F.col("ws"), F.col("ih")).alias("both"))
     exact = exact.withColumn("similarity", F.col("both") / (F.size("ws") + F.size("ih") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.struct(F.col("similarity"), (-F.col("s")).alias("s"))
-    exact = exact.withColumn("distance", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))))
-    out = exact.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "s", "m", "distance"), best).alias("x"))
+    out = exact.groupBy("doc_id", "item", "item_id").agg(F.max_by(F.struct("similarity", "s", "m", "distance"), best).alias("x"))
     out = out.select("doc_id", "item_id", F.round("x.similarity", 6).alias("similarity"), F.col("x.s").cast("long").alias("start_word"), F.col("x.m").cast("long").alias("n_words"), F.col("x.distance").cast("long").alias("distance"))
-    return out if short is None else out.union(short)
+    short = _short(docs, named)
+    return out if short is None else out.unionByName(short)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every contaminated document with each item it holds."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True).drop("distance")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def oracle() -> str:
-    """DuckDB SQL of query 4: all windows of all texts that hold enough of an item's shingles."""
+    """DuckDB SQL of query 4: all windows of all texts that hold enough of an item's shingles, and all runs of the words of a short item."""
     space = SPACE
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"list_filter(regexp_split_to_array({lower}, '{space}'), lambda x: x <> '')"
@@ -168,7 +189,9 @@ def oracle() -> str:
 WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
 d AS (SELECT rid, doc_id, len(w) AS n, k, {grams} AS g FROM (SELECT *, {k} AS k FROM d0) WHERE k > 0),
 i0 AS (SELECT item_id, {words} AS w FROM benchmark),
-i AS (SELECT item_id, len(w) AS m, k, {grams} AS g FROM (SELECT *, {k} AS k FROM i0) WHERE k > 0),
+i AS (SELECT item_id, len(w) AS m, k, {grams} AS g FROM (SELECT *, {k} AS k FROM i0) WHERE len(w) >= {WIDTH}),
+few AS (SELECT item_id, w AS iw, len(w) AS m FROM i0 WHERE len(w) BETWEEN 1 AND {WIDTH - 1}),
+runs AS (SELECT doc_id, w, item_id, iw, m, unnest(range(0, len(w) - m + 1)) AS p FROM d0 JOIN few ON len(w) >= m),
 dp AS (SELECT rid, unnest(range(0, k)) AS p, unnest(g) AS t FROM d),
 ip AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(g) AS t FROM i) GROUP BY ALL),
 hit AS (SELECT rid, item_id, p, t, c FROM dp JOIN ip USING (t)),
@@ -180,4 +203,5 @@ sim AS (SELECT rid, item_id, m, s, sum(shared) AS shared, any_value(k) AS k, any
 ok AS (SELECT d.doc_id, item_id, m, s, shared / (sim.k + wk - shared)::DOUBLE AS similarity FROM sim JOIN d USING (rid))
 SELECT doc_id, item_id, round(similarity, 6) AS similarity, s::BIGINT AS start_word, m::BIGINT AS n_words
 FROM ok WHERE similarity >= {SIMILARITY} - 1e-12
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1"""
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+UNION ALL SELECT doc_id, item_id, 1.0, min(p)::BIGINT, m::BIGINT FROM runs WHERE w[(p + 1)::BIGINT:(p + m)::BIGINT] = iw GROUP BY doc_id, item_id, m"""
