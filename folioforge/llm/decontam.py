@@ -36,11 +36,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import SPACE, lower_ascii, materialize, table, words_of
+from folioforge.llm.common import SPACE, lower_ascii, materialize, small, table, words_of
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
-#: Item shingles are broadcast only up to this many rows (24 bytes each); beyond, Spark picks the join.
-BROADCAST_ROWS = 1_000_000
 #: Blocks of a fingerprint, and starts of windows that share one slice of a text.
 BLOCKS, CHUNK = 4, 256
 
@@ -93,18 +91,13 @@ def _near(block: Column, flips: int) -> Column:
     return F.transform(F.split(F.lit(masks), ",").cast("array<int>"), lambda m: block.bitwiseXOR(m))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast where its checked size allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _short(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     """The first run of words equal to an item under five words, of each pair; None without such items."""
     short = items.where(F.col("n") < WIDTH)
     widths = sorted(r.n for r in short.select("n").distinct().collect())  # at most four
     out = None
     for m in widths:
-        known = _small(short.where(F.col("n") == m).select("item", "item_id", _hashes(m).alias("h")).select("item", "item_id", F.get("h", F.lit(0)).alias("h")))
+        known = small(short.where(F.col("n") == m).select("item", "item_id", _hashes(m).alias("h")).select("item", "item_id", F.get("h", F.lit(0)).alias("h")))
         placed = _worded(docs, "doc_id").where(F.col("n") >= m).select("doc_id", F.posexplode(_hashes(m)).alias("p", "h"))
         found = placed.join(known, "h").groupBy("doc_id", "item", "item_id").agg(F.min("p").alias("s"))
         found = found.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), F.col("s").cast("long").alias("start_word"), F.lit(m).cast("long").alias("n_words"), F.lit(0).cast("long").alias("distance"))
@@ -117,7 +110,7 @@ def windows(docs: DataFrame, bench: DataFrame, similarity: float) -> tuple[DataF
 
     A part is (doc_id, dg, m, c, part): the shingle hashes from start ``c * CHUNK`` on, as many as its windows need.
     """
-    known = _small(bench.select("m", F.explode("ih").alias("h")).distinct())
+    known = small(bench.select("m", F.explode("ih").alias("h")).distinct())
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dg"))
     hashed = _worded(keyed, "doc_id", "dg").where(F.col("n") >= WIDTH)
     anchors = hashed.select("doc_id", "dg", "n", F.posexplode(_hashes()).alias("p", "h")).join(known, "h")

@@ -10,7 +10,8 @@ documents that training never saw; the rejection threshold is the score that
 all but ``REJECT`` of the calibration examples exceed, short excerpts included.
 
 Training takes a bounded sample: about ``PER_LANG`` documents of each language,
-by a hash of doc_id, of at most ``MAX_CHARS`` characters each (whole texts).
+by a hash of doc_id and text, of at most ``MAX_CHARS`` characters each (whole texts);
+a language of which every text is longer is not learned.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; a null doc_id is not held out; with no labelled document everything
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -
         share = min(1.0, per_lang / n)
         one = (F.col("lang") == lang) & (place < int(share * (1 << 30)))
         wanted = one if wanted is None else wanted | one
-    rows = usable.where(wanted).limit(2 * per_lang * len(counts)).toPandas()
+    rows = usable.where(wanted).orderBy(place, "doc_id", "text").limit(2 * per_lang * len(counts)).toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     return train(list(zip(rows["text"], rows["lang"], strict=True)))
 

@@ -10,8 +10,10 @@ their pieces, and best-fits the displaced pieces, larger first; a mutation empti
 bins the same way. The fitness is the number of bins, then the sum of squared
 fillings. After an epoch the best bins of each island migrate, as patterns of
 lengths, to the next island on the ring, which builds bins of those patterns
-from its own pieces and injects them. Between epochs the pieces of badly filled
-bins move to a common island of their neighbourhood and are packed there.
+from its own pieces and injects them. Afterwards the pieces of badly filled bins
+are dealt to fewer islands of the same size and packed there, level after level,
+until one island holds them all or a level saves too little; no island ever
+holds more pieces than the first ones did, whatever cannot be filled.
 
 Edge cases: null and empty texts are one piece that holds only the end id; repeated rows
 and null ids are pieces of their own; an empty table gives an empty result.
@@ -186,7 +188,13 @@ def _epoch(room: int, generations: int, seed: int, migrants: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, island_items: int = ISLAND_ITEMS, epochs: int = 2) -> DataFrame:
+def next_islands(left: int, islands: int, island_items: int) -> int | None:
+    """On how many islands the pieces left are packed again; None where that would save too little."""
+    wanted = max(1, -(-left // island_items))
+    return wanted if left and wanted <= 0.9 * islands else None
+
+
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, island_items: int = ISLAND_ITEMS, epochs: int = 3) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     prepare(spark)
@@ -202,14 +210,15 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         if epoch + 1 < epochs:
             moved = state.where("pattern is not null").select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.lit(None).cast("long").alias("uid"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("fill"), "pattern")
             state = state.withColumn("pattern", F.lit(None).cast("array<long>")).unionByName(moved)
-    # Badly filled bins of neighbouring islands are packed together, until one island holds what is left.
     level = 1
     while islands > 1:
-        good = state.where(F.col("fill") >= F.lit(int(length * 0.985)))
-        done = good.withColumn("level", F.lit(level - 1)) if done is None else done.unionByName(good.withColumn("level", F.lit(level - 1)))
         rest = state.where(F.col("fill") < F.lit(int(length * 0.985)))
-        left = rest.count()
-        islands = min(-(-islands // 8), max(1, -(-left // island_items)))
+        fewer = next_islands(rest.count(), islands, island_items)
+        if fewer is None:
+            break
+        islands = fewer
+        good = state.where(F.col("fill") >= F.lit(int(length * 0.985))).withColumn("level", F.lit(level - 1))
+        done = good if done is None else done.unionByName(good)
         regrouped = rest.select(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(islands)).alias("island"), "uid", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("fill"), F.lit(None).cast("array<long>").alias("pattern"))
         state = materialize(regrouped.groupBy("island").applyInPandas(_epoch(length, GENERATIONS, SEED + 1000 * (epochs + level), 0), schema), "pack-level")
         level += 1

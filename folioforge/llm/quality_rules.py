@@ -15,8 +15,9 @@ least; without gain the rule stays unused in that stratum.
 
 Edge cases: null text has no words and fails the base rule; a null language is
 a stratum of its own; repeated labels of one document count once (any bad label
-makes it bad); a stratum with too few labels gets no cutoff.  An empty table
-gives an empty result.
+makes it bad); of a labelled document with several rows, the largest measures of
+each language count, once; a stratum with too few labels gets no cutoff; extra
+columns are ignored; every row is judged.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +90,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     lab = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     grid = F.array(*[F.lit(float(c)) for c in GRID])
     level_of = lambda rule: F.size(F.filter(grid, lambda c: c <= F.col(rule)))
-    rows = measured.where(~F.col("base_failed")).join(lab, "doc_id").select(
+    # One row a document and stratum: a binomial trial is a document, however often it occurs.
+    once = measured.where(~F.col("base_failed")).join(lab, "doc_id").groupBy("doc_id", "lang").agg(F.max("good").alias("good"), *[F.max(r).alias(r) for r in RULES])
+    rows = once.select(
         "lang", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level_of(r).alias("level")) for r in RULES])).alias("x")
     )
     counts = rows.groupBy("lang", "x.rule", "x.level").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
@@ -150,7 +153,7 @@ m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
   n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_lines, n_capitals / greatest(word_chars, 1)::DOUBLE AS capitals FROM m0),
 lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 v AS ({rows}),
-lv AS (SELECT v.lang, v.rule, v.v, lab.good FROM v JOIN m USING (rid) JOIN lab ON lab.doc_id = m.doc_id WHERE NOT m.base_failed),
+lv AS (SELECT v.lang, v.rule, max(v.v) AS v, any_value(lab.good) AS good FROM v JOIN m USING (rid) JOIN lab ON lab.doc_id = m.doc_id WHERE NOT m.base_failed GROUP BY v.lang, v.rule, m.doc_id),
 g AS (SELECT unnest({grid}) AS cutoff),
 s AS (SELECT lang, rule, cutoff, count(*) FILTER (good AND v >= cutoff) AS k, count(*) FILTER (NOT good AND v >= cutoff) AS bad, count(*) FILTER (good) AS n
   FROM lv, g GROUP BY ALL),

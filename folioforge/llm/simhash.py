@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, bucket_rows: int = 8192) -
 def keep_one(docs: DataFrame, radius: int = 2, bucket_rows: int = 8192) -> DataFrame:
     """The rows of ``docs`` (all columns) with one row for each component: that of the smallest doc_id.
 
-    Of rows equal in id and fingerprint, the one whose text hashes smallest stays.
+    Of rows equal in id and fingerprint, the one whose text, then whose other columns hash smallest stays.
     """
     from pyspark.sql.types import LongType, StructType
 
@@ -302,7 +302,8 @@ def keep_one(docs: DataFrame, radius: int = 2, bucket_rows: int = 8192) -> DataF
         return kept.select(*docs.columns)
     same = (F.col("__fp") == F.col("__keep_fp")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
     names = list(docs.columns)
-    first = kept.join(again, same, "left_semi").groupBy("doc_id", "__fp").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("__row")).select("__row.*")
+    plain = [c for c in names if not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    first = kept.join(again, same, "left_semi").groupBy("doc_id", "__fp").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), F.xxhash64(*plain))).alias("__row")).select("__row.*")
     return kept.join(again, same, "left_anti").select(*names).unionByName(first)
 
 

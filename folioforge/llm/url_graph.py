@@ -11,12 +11,16 @@ linked with and unrelated seeds change nothing.
 
 Links are reduced to weighted host pairs before anything is joined; each round
 is one join and one aggregation by host, and the lineage is cut every few rounds.
+A hub's links are cut into parts of about ``HUB_LINKS``, to which its score goes
+several times, so no task holds all links of one host.
 Rounds go on until the scores of all hosts together change by no more than
 ``tolerance``.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
-no rule and is allowed; hosts without links keep what they are seeded with;
-repeated rows each appear; an empty table gives an empty result.
+no rule and is allowed; null html has no links; hosts without links keep what they
+are seeded with; a host with trust equal to its distrust is blocked only if distrust is
+larger; extra columns are ignored; repeated rows each appear (and their links count
+again); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import lower_ascii, materialize, table
+from folioforge.llm.common import lower_ascii, materialize, small, table
 
 #: (verdict, host, start of the path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ROUNDS, DAMPING, THRESHOLD, CUT_EVERY = 8, 0.85, 1e-6, 4
-#: Change of all scores at which the rounds end, and what rounding of doubles can leave of each unit of mass. (ROUNDS is only the oracle's.)
+#: Change of all scores at which the rounds end, and what rounding of doubles can leave of each unit of mass. (ROUNDS is only the DuckDB statement's, which has no loop.)
 TOLERANCE, ROUNDING = 1e-9, 1e-14
+HUB_LINKS = 100_000
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -62,26 +67,40 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs
 
 
-def _rank(nodes: DataFrame, links: DataFrame, seed: str, source: str, target: str, damping: float, tolerance: float) -> DataFrame:
+def _rank(nodes: DataFrame, links: DataFrame, seed: str, source: str, target: str, damping: float, tolerance: float, hub_links: int) -> DataFrame:
     """Personalised PageRank: (host, score); mass that leaves at hosts without links is not returned."""
-    out = links.groupBy(source).agg(F.sum("n").alias("total"))
-    flow = links.join(out, source).select(F.col(source).alias("from"), F.col(target).alias("to"), (F.col("n") / F.col("total")).alias("w"))
+    out = materialize(links.groupBy(source).agg(F.sum("n").alias("total"), F.ceil(F.count("*") / hub_links).cast("int").alias("parts")), "host-out")
+    hubs = small(out.where("parts > 1").select(F.col(source).alias("hub"), F.col("parts").alias("cuts")))
+    part = F.pmod(F.xxhash64(target), F.coalesce("cuts", F.lit(1))).cast("int").alias("part")
+    flow = links.join(hubs, F.col(source) == F.col("hub"), "left").select(F.col(source).alias("from"), F.col(target).alias("to"), "n", part)
     flow = materialize(flow, "host-flow")
-    now = nodes.select("host", F.col(seed).alias("base"), F.col(seed).alias("score"))
+    now = nodes.join(out.withColumnRenamed(source, "host"), "host", "left").select("host", F.col(seed).alias("base"), F.col(seed).alias("score"), "total", "parts")
     if flow.isEmpty():
         return now.select("host", (F.lit(1 - damping) * F.col("base")).alias("score"))
+    now = materialize(now, "host-start")
     # No round hands on more than ``damping`` of the change before, so this ends.
     while True:
         for _ in range(CUT_EVERY):
-            come = now.where("score > 0").join(flow, F.col("host") == F.col("from")).groupBy("to").agg(F.sum(F.col("score") * F.col("w")).alias("come"))
+            given = now.where("score > 0 and total > 0").select(F.col("host").alias("giver"), (F.col("score") / F.col("total")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cut"))
+            come = given.join(flow, (F.col("giver") == F.col("from")) & (F.col("cut") == F.col("part"))).groupBy("to").agg(F.sum(F.col("share") * F.col("n")).alias("come"))
             score = F.lit(1 - damping) * F.col("base") + F.lit(damping) * F.coalesce("come", F.lit(0.0))
-            now = now.join(come, F.col("host") == F.col("to"), "left").select("host", "base", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+            now = now.join(come, F.col("host") == F.col("to"), "left").select("host", "base", score.alias("score"), "total", "parts", F.abs(score - F.col("score")).alias("change"))
         now = materialize(now, "host-rank")
         change, mass = now.agg(F.sum("change"), F.sum("score")).first()
         if (change or 0.0) <= max(tolerance, ROUNDING * (mass or 0.0)):
             return now.select("host", "score")
 
 
+def scores(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, hub_links: int = HUB_LINKS) -> DataFrame:
+    """(host, trust, distrust) of all hosts that are seeds (host, trusted, blocked: 0 or 1) or linked (src, dst, n)."""
+    linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
+    trusted = F.coalesce("trusted", F.lit(0.0))
+    nodes = seeds.join(linked, "host", "full").select("host", trusted.alias("trusted"), F.when(trusted > 0, 0.0).otherwise(F.coalesce("blocked", F.lit(0.0))).alias("blocked"))
+    nodes = materialize(nodes, "host-nodes")
+    trust = _rank(nodes, links, "trusted", "src", "dst", damping, tolerance, hub_links).withColumnRenamed("score", "trust")
+    return trust.join(_rank(nodes, links, "blocked", "dst", "src", damping, tolerance, hub_links).withColumnRenamed("score", "distrust"), "host")
+
+
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -91,12 +110,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: fl
     seeds = rows.where("host <> ''").groupBy("host").agg(
         F.max(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trusted"), F.max(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("blocked")
     )
-    linked = links.select(F.col("src").alias("host")).union(links.select("dst")).distinct()
-    nodes = seeds.join(linked, "host", "full").select("host", F.coalesce("trusted", F.lit(0.0)).alias("trusted"), F.when(F.coalesce("trusted", F.lit(0.0)) > 0, 0.0).otherwise(F.coalesce("blocked", F.lit(0.0))).alias("blocked"))
-    nodes = materialize(nodes, "host-nodes")
-    trust = _rank(nodes, links, "trusted", "src", "dst", damping, tolerance).withColumnRenamed("score", "trust")
-    distrust = _rank(nodes, links, "blocked", "dst", "src", damping, tolerance).withColumnRenamed("score", "distrust")
-    suspect = distrust.join(trust, "host", "left").where((F.col("distrust") >= threshold) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("graph"))
+    found = scores(seeds, links, damping, tolerance)
+    suspect = found.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("graph"))
+    suspect = small(materialize(suspect, "host-blocked"))
     found = rows.join(suspect, "host", "left")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "graph", F.lit("allow")).alias("verdict"))
 
@@ -119,7 +135,7 @@ def oracle() -> str:
     steps = []
     for kind, seed, a, b in (("t", "trusted", "src", "dst"), ("d", "blocked", "dst", "src")):
         steps.append(f"{kind}f AS (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS w FROM links)")
-        steps.append(f"{kind}0 AS (SELECT host, {seed} / greatest(sum({seed}) OVER (), 1) AS base, {seed} / greatest(sum({seed}) OVER (), 1) AS score FROM nodes)")
+        steps.append(f"{kind}0 AS (SELECT host, {seed} AS base, {seed} AS score FROM nodes)")
         for k in range(1, ROUNDS + 1):
             steps.append(
                 f"{kind}{k} AS MATERIALIZED (SELECT x.host, any_value(x.base) AS base, {1 - DAMPING} * any_value(x.base) + {DAMPING} * coalesce(sum(p.score * f.w), 0) AS score "

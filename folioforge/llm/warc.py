@@ -5,14 +5,17 @@ dictionary trained on the first records it archives; every record follows as a
 frame of its own, compressed with that dictionary, so any record can be read
 alone. Of equal payloads of at least ``least`` bytes, the one with the smallest
 page_id is a response record, the others are revisit records without payload
-that name it.
+that name its record id, url and page_id.
+
+Which payloads repeat is decided on digests alone; only these are joined back to
+the pages, so a very common payload gathers in no task.
 
 Files are written under a temporary name and renamed, so a retried task leaves
 one whole file.
 
 Edge cases: null html is an empty payload; a null page_id is smallest only
 where no other row of its payload has an id; rows that share the smallest id of a payload are all
-responses; an empty table gives no file and an empty result.
+responses (equal rows share one record id); extra columns are ignored; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -27,35 +30,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import materialize, new_folder, prepare, table
+from folioforge.llm.common import BROADCAST_ROWS, materialize, new_folder, prepare, table
 from folioforge.llm.token_store import open_fs
 
 SKIPPABLE = 0x184D2A5D
 #: Bytes of records held to train a file's dictionary, the dictionary's size, and the level.
 TRAIN_BYTES, DICTIONARY_BYTES, LEVEL = 4 << 20, 64 << 10, 3
-_DATE = "2000-01-01T00:00:00Z"
+#: The pages have no time of their own; archives of the same rows are the same bytes.
+DATE = "2000-01-01T00:00:00Z"
+#: Parts of a payload's pages where the repeated payloads are too many to broadcast.
+SALTS = 32
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC 1.1 record; ids are urn:page:N."""
-    body = b"" if revisit else payload
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest(payload)}|{revisit}")
+def record_id(page_id: int | None, url: str | None, sha1: str, revisit: bool) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{sha1}|{revisit}')}>"
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool, date: str = DATE) -> bytes:
+    """One WARC 1.1 record."""
+    body, sha1 = b"" if revisit else payload, digest(payload)
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {_DATE}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", f"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, sha1, revisit)}", f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + _uri(url))
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines += [f"WARC-Refers-To: {record_id(refers_to, refers_url, sha1, False)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + _uri(refers_url))
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -121,9 +135,9 @@ def read_records(source) -> Iterator[bytes]:
     raw = source.read(size)
     kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
-    data = b""
+    data = b""  # a short buffer, as what follows a frame in it is copied
     while True:
-        data = data or source.read(1 << 20)
+        data = data or source.read(1 << 16)
         if not data:
             return
         one, parts = reader.decompressobj(), []
@@ -132,13 +146,13 @@ def read_records(source) -> Iterator[bytes]:
             if one.eof:
                 data = one.unused_data
                 break
-            data = source.read(1 << 20)
+            data = source.read(1 << 16)
             if not data:
                 raise ValueError("archive ends within a record")
         yield b"".join(parts)
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -147,13 +161,13 @@ def _write(folder: str):
         fs, at = open_fs(folder)
         sink = writer = part = None
         for b in batches:
-            for page_id, url, html, refers, revisit in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for page_id, url, html, refers, refers_url, revisit in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if writer is None:
                     fs.create_dir(at, recursive=True)
                     part = f"{at}/.{name}-{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(part, compression=None)
                     writer = Writer(sink)
-                writer.add(record(page_id, url, (html or "").encode(), refers, revisit))
+                writer.add(record(page_id, url, (html or "").encode(), refers, refers_url, revisit, date))
         if writer is not None:
             n = writer.close()
             sink.close()
@@ -163,19 +177,26 @@ def _write(folder: str):
     return run
 
 
-def marked(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to, revisit: which rows repeat the payload of a smaller page_id."""
+def marked(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, html, refers_to, refers_url, revisit: which rows repeat the payload of a smaller page_id."""
     rows = pages.select("page_id", "url", "html").withColumn("key", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    firsts = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("url").isNull(), F.col("url"))
+    firsts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.min_by("url", order).alias("refers_url")).where("n > 1 AND first IS NOT NULL")
+    firsts = materialize(firsts.select("key", "first", "refers_url"), "warc-repeats")
+    if firsts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = rows.join(F.broadcast(firsts), "key", "left")
+    else:  # pages of one payload go to several tasks
+        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.octet_length(F.coalesce("html", F.lit(""))) >= least)
-    found = rows.join(firsts, "key", "left").withColumn("revisit", revisit)
-    return found.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
+    found = found.withColumn("revisit", revisit)
+    return found.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), F.when(F.col("revisit"), F.col("refers_url")).alias("refers_url"), "revisit")
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DATE) -> DataFrame:
     """Write one archive per partition; returns the manifest (name, records)."""
     prepare(pages.sparkSession)
-    return materialize(marked(pages, least).mapInArrow(_write(folder), "name string, records long"), "warc-manifest")
+    return materialize(marked(pages, least).mapInArrow(_write(folder, date), "name string, records long"), "warc-manifest")
 
 
 def _read(folder: str):
@@ -192,8 +213,8 @@ def _read(folder: str):
                         if not revisit and (digest(body) != noted or len(body) != int(fields["x-payload-length"])):
                             raise ValueError(f"{name}: a payload differs from its digest")
                         page = fields.get("x-page-id")
-                        refers = fields.get("warc-refers-to", "<urn:page:>")[len("<urn:page:") : -1]
-                        rows.append((None if page is None else int(page), int(fields["x-payload-length"]), noted, fields["warc-type"], int(refers) if refers else None))
+                        refers = fields.get("x-refers-to-page-id")
+                        rows.append((None if page is None else int(page), int(fields["x-payload-length"]), noted, fields["warc-type"], None if refers is None else int(refers)))
                         if len(rows) == 5000:
                             yield _rows(rows)
                             rows = []
