@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import SPACE, lower_ascii, materialize, small, table, words_of
+from folioforge.llm.common import BROADCAST_ROWS, SPACE, lower_ascii, materialize, small, table, words_of
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Blocks of a fingerprint, and starts of windows that share one slice of a text.
@@ -142,8 +142,10 @@ def windows(docs: DataFrame, bench: DataFrame, similarity: float) -> tuple[DataF
 def candidates(fingerprints: DataFrame, bench: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(m, wfp, item, ifp): all pairs of a window's and an item's fingerprint of one size within ``radius`` bits."""
     filed = bench.select("m", "item", "ifp", F.explode(_blocks("ifp")).alias("block")).select("m", "item", "ifp", F.explode(_near(F.col("block"), radius // BLOCKS)).alias("block"))
-    asked = fingerprints.select("m", "wfp").distinct().select("m", "wfp", F.explode(_blocks("wfp")).alias("block"))
-    return asked.join(filed, ["m", "block"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("m", "wfp", "item", "ifp").distinct()
+    asked = materialize(fingerprints.select("m", "wfp").distinct(), "decontam-asked")
+    # The filed items are many more rows than Spark's estimate says and are never broadcast.
+    found = small(asked, BROADCAST_ROWS // BLOCKS).select("m", "wfp", F.explode(_blocks("wfp")).alias("block"))
+    return filed.hint("merge").join(found, ["m", "block"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("m", "wfp", "item", "ifp").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
