@@ -105,7 +105,9 @@ class Dialect:
 
     def tagged(self, rules: list[tuple[str, str]], x: str) -> str:
         """Array of ``tag|match`` for every match of the first group, from one pass over a column."""
-        found = [self.map(self.groups(x, p), "m", f"concat('{tag}|', m)") for tag, p in rules]
+        # DuckDB's rules take in the character after a match; with spaces doubled the next match still has one before it.
+        wide = lambda p: x if self.spark or not p.endswith("|$)") else rf"regexp_replace({x}, '(\s)', '\1\1', 'g')"
+        found = [self.map(self.groups(wide(p), p), "m", f"concat('{tag}|', m)") for tag, p in rules]
         return f"flatten({self.array(*found)})"
 
     def common(self, a: str, b: str) -> str:

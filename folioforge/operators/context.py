@@ -59,10 +59,19 @@ REFERENCES = (
     ("url_reference", 0.88, URL),
 )
 GUARD = r"(?:^|[^\p{L}\p{N}_])"
+#: Kinds whose patterns may end within a word, as their last part takes in all that follows.
+OPEN_ENDED = ("decision", "decree", "circular", "law", "url", "url_reference", "legal_document_reference")
+
+
+def _whole(d: Dialect, kind: str, pattern: str) -> str:
+    """The end of a pattern that must be the end of a word; DuckDB has no look-ahead and takes the next character in."""
+    if kind in OPEN_ENDED or pattern.endswith(("%", NAME, CODE)):
+        return ""
+    return r"(?![\p{L}\p{N}_])" if d.spark else r"(?:[^\p{L}\p{N}_]|$)"
 
 
 def entity_rules(d: Dialect) -> list[tuple[str, str]]:
-    return [(f"{kind}|{c}", (GUARD if case else d.ci(GUARD)) + f"({p})" + (r"(?:[^\p{L}\p{N}_]|$)" if case and kind in ("organization", "code") else "")) for kind, c, case, p in ENTITIES]
+    return [(f"{kind}|{c}", (GUARD if case else d.ci(GUARD)) + f"({p})" + _whole(d, kind, p)) for kind, c, case, p in ENTITIES]
 
 
 def _entities(d: Dialect) -> str:
@@ -94,7 +103,7 @@ def entity_network(d: Dialect) -> str:
 
 def references(d: Dialect) -> str:
     """References of each document, their key (the last number or letter), and whether a numbered line of the document carries that key."""
-    rules = [(f"{kind}|{c}", d.ci(GUARD + f"({p})")) for kind, c, p in REFERENCES]
+    rules = [(f"{kind}|{c}", d.ci(GUARD + f"({p})" + _whole(d, kind, p))) for kind, c, p in REFERENCES]
     every = d.explode(d.t("documents"), "doc_id", d.tagged(rules, "coalesce(text, '')"), "p", "hit")
     return f"""
 WITH {lines(d)}, h AS (SELECT doc_id, split_part(hit, '|', 1) AS kind, cast(split_part(hit, '|', 2) AS DOUBLE) AS confidence, {d.match("substr(hit, length(split_part(hit, '|', 1)) + length(split_part(hit, '|', 2)) + 3)")} AS reference FROM ({every}) e),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioforge.functions.dialect import Dialect
-from folioforge.operators.text import INDEX_STOPWORDS, _list, tokens
+from folioforge.operators.text import INDEX_STOPWORDS, _list, in_runs, tokens
 
 K1, B = 1.5, 0.75
 RRF_K, RANK_BOOST = 60, 0.35
@@ -29,8 +29,36 @@ def bm25_postings(d: Dialect) -> str:
     return f"WITH {_index(d)} SELECT term, tf.doc_id, cast(tf AS BIGINT) AS tf, cast(dl AS BIGINT) AS doc_length FROM tf JOIN dl ON tf.doc_id = dl.doc_id"
 
 
+def postings(d: Dialect) -> str:
+    """The inverted index that searches read: term, doc_id, tf and document length of every posting."""
+    return f"""WITH {tokens(d)}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term)
+SELECT term, doc_id, tf, dl FROM (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS dl FROM tf) x"""
+
+
+def lengths(d: Dialect) -> str:
+    """doc_id and length of every document with a term."""
+    return "SELECT doc_id, first(dl) AS dl FROM ff_postings GROUP BY doc_id"
+
+
+#: Tables that are written once for a folder's documents, in this order; statements name them as tables.
+INDEXES = {"ff_postings": postings, "ff_lengths": lengths}
+
+
+def _indexed(d: Dialect, where: str) -> str:
+    """The Spark form of _search: the terms of the queries against the written index."""
+    return f"""{tokens(d, 'benchmark', 'item_id', 'qt')}, q AS (SELECT DISTINCT item_id, term FROM qt WHERE item_id % 100 = 0),
+n AS (SELECT count(*) AS docs, round(avg(dl), 4) AS avgdl FROM ff_lengths),
+tf AS (SELECT p.doc_id, p.term, p.tf, p.dl FROM ff_postings p JOIN (SELECT DISTINCT term FROM q) t ON p.term = t.term),
+ts AS (SELECT term, count(*) AS df FROM tf GROUP BY term), idf AS (SELECT term, round(ln(1 + (n.docs - df + 0.5) / (df + 0.5)), 8) AS idf FROM ts JOIN n ON 1 = 1),
+s AS (SELECT q.item_id, tf.doc_id, sum(idf.idf * tf.tf * {K1 + 1} / (tf.tf + {K1} * ({1 - B} + {B} * tf.dl / n.avgdl))) AS score
+  FROM tf JOIN q ON q.term = tf.term JOIN idf ON tf.term = idf.term JOIN n ON 1 = 1 {'' if where == '1 = 1' else f"JOIN {d.t('documents')} m ON m.doc_id = tf.doc_id AND {where}"} GROUP BY q.item_id, tf.doc_id),
+r AS (SELECT item_id, doc_id, round(cast(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(cast(score AS DOUBLE), 6) DESC, doc_id) AS rk FROM s)"""
+
+
 def _search(d: Dialect, where: str = "1 = 1") -> str:
-    """CTEs up to r: ranked documents of each query. Only the terms of the queries are counted per document; lengths come from the term arrays."""
+    """CTEs up to r: ranked documents of each query. Spark reads the written index; DuckDB counts the terms of the queries in the texts."""
+    if d.spark:
+        return _indexed(d, where)
     terms = d.keep(d.find_all("n", d.WORD), "x", f"length(x) BETWEEN 2 AND 64 AND x NOT IN ({_list(INDEX_STOPWORDS)})")
     every = d.explode("dt", "doc_id", "terms", "p", "term")
     return f"""{tokens(d, 'benchmark', 'item_id', 'qt')}, q AS (SELECT DISTINCT item_id, term FROM qt WHERE item_id % 100 = 0),
@@ -75,7 +103,9 @@ def vector_topk_filtered(d: Dialect) -> str:
 
 def hybrid_rrf(d: Dialect) -> str:
     """Fusion of lexical and metadata ranks: weighted reciprocal ranks, normalised scores, and a bonus for several sources."""
-    meta = f"""mh AS (SELECT qq.item_id, m.doc_id, count(*) AS hits FROM q qq JOIN (SELECT doc_id, {d.match("substr(coalesce(text, ''), 1, 500)")} AS s FROM {d.t('documents')}) m ON instr(m.s, qq.term) > 0 GROUP BY qq.item_id, m.doc_id),
+    runs = f"SELECT doc_id, {d.match("substr(coalesce(text, ''), 1, 500)")} AS s FROM {d.t('documents')}"
+    meta = f"""{in_runs(d, runs, 'doc_id')}, mh AS (SELECT q.item_id, hits.doc_id, count(DISTINCT q.term) AS hits FROM hits JOIN q ON hits.term = q.term GROUP BY q.item_id, hits.doc_id),
+mr AS (SELECT item_id, doc_id, cast(hits AS DOUBLE) AS score, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rk FROM mh)""" if d.spark else f"""mh AS (SELECT qq.item_id, m.doc_id, count(*) AS hits FROM q qq JOIN (SELECT doc_id, {d.match("substr(coalesce(text, ''), 1, 500)")} AS s FROM {d.t('documents')}) m ON instr(m.s, qq.term) > 0 GROUP BY qq.item_id, m.doc_id),
 mr AS (SELECT item_id, doc_id, cast(hits AS DOUBLE) AS score, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rk FROM mh)"""
     return f"""
 WITH {_search(d)}, {meta},

@@ -11,6 +11,12 @@ HEADERS = ("line", "part", "quantity", "price", "flag", "status")
 def cells(d: Dialect) -> str:
     """CTE cells(table_id, r, c, text): a header row of names and one row for each lineitem."""
     values = ("cast(l_linenumber AS STRING)", "concat('P-', cast(l_partkey AS STRING))", "cast(cast(floor(l_quantity) AS BIGINT) AS STRING)", "concat(cast(cast(floor(l_extendedprice) AS BIGINT) AS STRING), ' VND')", "CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END", "l_linestatus")
+    if d.spark:  # one scan: a table's first row also brings its header
+        heads = d.array(*(f"'{h}'" for h in HEADERS))
+        order = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
+        grid = f"SELECT l_orderkey AS table_id, {d.array(*values)} AS body, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS k FROM {d.t('lineitem')}"
+        return f"""cells AS (SELECT table_id, r, c, text FROM (SELECT table_id, body, explode(CASE WHEN k = 1 THEN array(0, k) ELSE array(k) END) AS r FROM ({grid}) g) rows
+  LATERAL VIEW posexplode(CASE WHEN r = 0 THEN {heads} ELSE body END) x AS c, text)"""
     body = " UNION ALL ".join(f"SELECT l_orderkey AS table_id, r, {c} AS c, {v} AS text FROM grid" for c, v in enumerate(values))
     head = " UNION ALL ".join(f"SELECT DISTINCT l_orderkey, 0, {c}, '{h}' FROM grid" for c, h in enumerate(HEADERS))
     order = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"

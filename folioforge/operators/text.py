@@ -86,9 +86,27 @@ WITH m AS (SELECT p.doc_id, p.lang, p.source FROM {d.t('documents')} p LEFT JOIN
 SELECT 'lang' AS field, lang AS value, cast(count(*) AS BIGINT) AS n FROM m GROUP BY lang UNION ALL SELECT 'source', source, cast(count(*) AS BIGINT) FROM m GROUP BY source"""
 
 
+def in_runs(d: Dialect, texts: str, key: str) -> str:
+    """CTEs up to hits(key, term, n): how often each term of ``q`` occurs in a text, also within words.
+
+    A term has no other marks than a word, so it lies within one; distinct words meet the terms, not texts.
+    """
+    every = d.explode(f"({texts}) t", key, d.find_all("s", "[a-z0-9_]+"), "p", "word")
+    return f"""worded AS (SELECT {key}, word, count(*) AS n FROM ({every}) e GROUP BY {key}, word),
+held AS (SELECT word, term, (length(word) - length(replace(word, term, ''))) / length(term) AS k FROM (SELECT DISTINCT word FROM worded) w JOIN (SELECT DISTINCT term FROM q) x ON instr(word, term) > 0),
+hits AS (SELECT {key}, term, sum(n * k) AS n FROM worded JOIN held ON worded.word = held.word GROUP BY {key}, term)"""
+
+
 def metadata_search(d: Dialect) -> str:
     """Substring score of the query terms (benchmark items divisible by 100) over document previews, the 20 best of each."""
     terms = d.explode(f"(SELECT item_id, {d.match('text')} AS n FROM {d.t('benchmark')} WHERE item_id % 100 = 0) s", "item_id", d.find_all("n", "[a-z0-9_]{3,}"), "p", "term")
+    if d.spark:
+        texts = f"""SELECT doc_id, {d.match("concat(coalesce(lang, ''), ' ', coalesce(source, ''), ' ', substr(coalesce(text, ''), 1, 500))")} AS s FROM {d.t('documents')}"""
+        return f"""
+WITH q AS (SELECT DISTINCT item_id, term FROM ({terms}) t), {in_runs(d, texts, 'doc_id')},
+h AS (SELECT item_id, doc_id, sum(1.0 + 0.15 * n) AS score FROM hits JOIN q ON hits.term = q.term GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM h)
+SELECT item_id, doc_id, round(cast(score AS DOUBLE), 6) AS score, cast(rk AS BIGINT) AS rk FROM r WHERE rk <= 20"""
     return f"""
 WITH q AS (SELECT DISTINCT item_id, term FROM ({terms}) t),
 m AS (SELECT doc_id, {d.match("concat(coalesce(lang, ''), ' ', coalesce(source, ''), ' ', substr(coalesce(text, ''), 1, 500))")} AS s FROM {d.t('documents')}),
@@ -131,12 +149,13 @@ SELECT doc_id, line_no, toks, nums FROM f WHERE instr(text, '|') > 0 OR {d.match
 
 
 def section_tree(d: Dialect) -> str:
-    """Sections from headings: the parent is the nearest heading before of a smaller level; the end is the line before the next section."""
-    last = ", ".join(f"max(CASE WHEN level = {k} THEN o END) OVER w AS last{k}" for k in (1, 2, 3))
-    parent = "CASE level WHEN 1 THEN 0 WHEN 2 THEN coalesce(last1, 0) ELSE greatest(coalesce(last1, 0), coalesce(last2, 0)) END"
+    """Sections from headings, numbered ones as deep as their number: the parent is the nearest heading before of a smaller level; the end is the line before the next section."""
+    last = ", ".join(f"max(CASE WHEN level = {k} THEN o END) OVER w AS last{k}" for k in range(1, 9))
+    parent = "CASE level WHEN 1 THEN 0 " + " ".join(f"WHEN {k} THEN greatest({', '.join(f'coalesce(last{j}, 0)' for j in range(1, k))}, 0)" for k in range(2, 10)) + " END"
+    level = f"CASE kind WHEN 'chapter' THEN 1 WHEN 'roman' THEN 1 WHEN 'uppercase' THEN 2 WHEN 'numbered' THEN least({d.size(d.find_all(d.extract('text', '^([0-9]+([.][0-9]+)*)'), '[.]'))} + 1, 9) ELSE 3 END"
     return f"""
-WITH {lines(d)}, h AS (SELECT doc_id, line_no, {_heading(d)} AS kind FROM lines WHERE length(text) <= 120 AND NOT {d.matches('text', '[.;:,]$')}),
-v AS (SELECT doc_id, line_no, CASE kind WHEN 'chapter' THEN 1 WHEN 'roman' THEN 1 WHEN 'uppercase' THEN 2 ELSE 3 END AS level, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS o FROM h WHERE kind <> 'plain'),
+WITH {lines(d)}, h AS (SELECT doc_id, line_no, text, {_heading(d)} AS kind FROM lines WHERE length(text) <= 120 AND NOT {d.matches('text', '[.;:,]$')}),
+v AS (SELECT doc_id, line_no, {level} AS level, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS o FROM h WHERE kind <> 'plain'),
 p AS (SELECT *, {last}, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (SELECT doc_id, max(line_no) AS last_line FROM lines GROUP BY doc_id)
 SELECT p.doc_id, cast(o AS BIGINT) AS section, cast(level AS BIGINT) AS level, cast({parent} AS BIGINT) AS parent, p.line_no AS first_line, coalesce(next_line - 1, e.last_line) AS last_line FROM p JOIN e ON p.doc_id = e.doc_id"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.functions import scratch
 from folioforge.functions.dialect import Dialect
 from folioforge.operators import context, graph, pages, retrieval, semantics, tables, text, understanding
 
@@ -14,12 +15,31 @@ STATEMENTS = {f.__name__: f for m in (text, retrieval, graph, tables, semantics,
 _SPARK, _DUCKDB = Dialect(True, "ff_"), Dialect(False)
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the index, written once in a session for as long as the documents stay the same."""
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, name, scratch.state_of(spark, path))
+    if key not in _made:
+        made = spark.sql(retrieval.INDEXES[name](_SPARK))
+        if name == "ff_postings":  # searches ask for terms: files hold ranges of them
+            made = made.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        _made[key] = scratch.written(made, name)
+    return _made[key]
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement over the tables of a folder; only the tables it names are opened."""
     sql = STATEMENTS[name](_SPARK)
     for t in TABLES:
         if f"ff_{t}" in sql:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"ff_{t}")
+    if any(t in sql for t in retrieval.INDEXES):
+        spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("ff_documents")
+        for t in retrieval.INDEXES:
+            _index(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 
