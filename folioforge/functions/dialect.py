@@ -134,3 +134,26 @@ class Dialect:
 
     def sha1(self, x: str) -> str:
         return f"sha1({x})"
+
+    def json(self, x: str, key: str) -> str:
+        """A value of a JSON object, as text."""
+        return f"get_json_object({x}, '$.{key}')" if self.spark else f"json_extract_string({x}, '$.{key}')"
+
+    def overlap(self, a: str, b: str) -> str:
+        return f"arrays_overlap({a}, {b})" if self.spark else f"list_has_any({a}, {b})"
+
+    def half_even(self, x: str) -> str:
+        return f"bround({x}, 0)" if self.spark else f"round_even({x}, 0)"
+
+    def gather(self, x: str, order: str) -> str:
+        """The values of a group as an array in order."""
+        if self.spark:
+            return f"transform(array_sort(collect_list(struct({order}, {x} AS kept))), x -> x.kept)"
+        return f"list({x} ORDER BY {order})"
+
+    def part(self, a: str, first: str, n: str) -> str:
+        """n items of an array from the first (1-based) on."""
+        return f"slice({a}, {first}, {n})" if self.spark else f"{a}[{first}:{first} + {n} - 1]"
+
+    def text(self, a: str, by: str) -> str:
+        return f"array_join({a}, '{by}')" if self.spark else f"array_to_string({a}, '{by}')"
