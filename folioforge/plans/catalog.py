@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.functions import scratch
 from folioforge.functions.dialect import Dialect
-from folioforge.operators import context, graph, layout, merging, pages, retrieval, selection, semantics, tables, text, understanding
+from folioforge.operators import context, evidence, expansion, graph, layout, merging, pages, retrieval, selection, semantics, tables, text, understanding
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-STATEMENTS = {f.__name__: f for m in (text, retrieval, graph, tables, semantics, context, understanding, pages, selection, merging, layout) for f in m.QUERIES}
+STATEMENTS = {f.__name__: f for m in (text, retrieval, graph, tables, semantics, context, understanding, pages, selection, merging, layout, expansion, evidence) for f in m.QUERIES}
 _SPARK, _DUCKDB = Dialect(True, "ff_"), Dialect(False)
 
 
