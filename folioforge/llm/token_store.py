@@ -304,8 +304,8 @@ def _read(folder: str):
                         low = int(number.min())
                         ids = shard.read(low, int(number.max()) + 1).astype("<u4")
                         first, stop = shard.firsts[number], shard.firsts[number + 1]
-                        at = shard.firsts[low]
-                        crc = [zlib.crc32(ids[p:q].tobytes()) for p, q in zip((first - at).tolist(), (stop - at).tolist(), strict=True)]
+                        begin = shard.firsts[low]
+                        crc = [zlib.crc32(ids[p:q].tobytes()) for p, q in zip((first - begin).tolist(), (stop - begin).tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(keys, mask=nulls), pa.array(base + first), pa.array(stop - first), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                         )

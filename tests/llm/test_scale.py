@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioforge.llm import encoding, langid, packing, quality_rules, simhash, token_store, url_graph, warc
@@ -108,6 +109,10 @@ def test_keyed_reads(spark):
     folder = new_folder(spark, "test")
     manifest = token_store.write_store(df, folder, shards=4)
     tokenizer = encoding.Encoder(encoding.default_path()).tokenizer
+    # Several shards in one task.
+    names = [r.name for r in manifest.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([0] * len(names))], ["name", "base"])
+    assert sum(b.num_rows for b in token_store._read(folder)(iter([batch]))) == len(rows)
     want = {}
     for d, t in rows:
         want.setdefault(d, []).append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
