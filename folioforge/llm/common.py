@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch, so that a batch of long texts stays bounded; rows of a side up to which it is broadcast.
-ARROW_ROWS, BROADCAST_ROWS = 1000, 1_000_000
+ARROW_ROWS, BROADCAST_ROWS = 500, 1_000_000
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

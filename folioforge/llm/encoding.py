@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_FILE = "word_bpe_49k.json"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 #: Characters of texts that need the tokenizer's own normaliser.
 _OTHER = r"[^\x{00}-\x{2ff}]|\x{130}"
 _encoders: dict[str, Encoder] = {}
