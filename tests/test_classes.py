@@ -33,7 +33,7 @@ def exchanged(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["graph_retrieval", "graph_seeds", "node_text_scan", "graph_search"])
+@pytest.mark.parametrize("name", ["graph_retrieval", "graph_seeds", "node_text_scan", "graph_search", "table_retrieval"])
 def test_copies(spark, copies, name):
     path, con = copies
     before = exchanged(spark)
